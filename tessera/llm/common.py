@@ -54,41 +54,40 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", ma
     for every node of an edge, label being the least node of its component. Minima are
     partial aggregates and the rejoin is a splittable join, so a hub doesn't meet in one task.
     """
-    def pointers(df: DataFrame) -> DataFrame:
-        return df.filter("a <> b").distinct()
+    def down(df: DataFrame) -> DataFrame:
+        return df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
-            sym = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            sym = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = sym.groupBy("a").agg(F.min("b").alias("lo")).select("a", F.least("a", "lo").alias("m"))
-        joined = sym.join(least, "a")
+            e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = e.groupBy("a").agg(F.min("b").alias("lo")).select("a", F.least("a", "lo").alias("m"))
+        joined = e.join(least, "a")
         if large:
             return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
-    def state(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Every node points to one root at most, and no root points on."""
+        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(e.select(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("root")))
+        odd = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("root").alias("root")).filter("out > 1 or (out = 1 and root = 1)")
+        return odd.agg(F.count(F.lit(1))).first()[0] == 0
 
-    cur = scratch.save(pointers(edges.select("a", "b")), f"{tag}-0")
-    before, r = state(cur), 0
-    while before[0] and r < max_rounds:
+    cur, r = scratch.save(down(edges.select("a", "b")), f"{tag}-0"), 0
+    while not settled(cur):
         r += 1
-        nxt = scratch.save(pointers(star(pointers(star(cur, True)), False)), f"{tag}-{r}")
-        now = state(nxt)
+        if r > max_rounds:
+            raise RuntimeError("components did not settle")
+        cur = scratch.save(down(star(star(cur, True), False)), f"{tag}-{r}")
         scratch.drop(f"{tag}-{r - 1}")
-        cur = nxt
-        if now == before:
-            break
-        before = now
-    # at the fixed point every edge points from a node to the root of its star
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).unionByName(roots)
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
-def link_groups(cells: DataFrame, verify, scratch: Scratch) -> DataFrame:
-    """Components (node, label) of the links among keys that share a cell of ``cells`` (cell, key).
+def link_groups(cells: DataFrame, verify, scratch: Scratch, traits: DataFrame, may=None) -> DataFrame:
+    """Components (node, label) of the links among keys that share a cell of ``cells`` (cell, h).
+
+    ``traits`` (key, h, ...) names the keys behind a 64-bit ``h``, so that the many cells that
+    hold one key move as two longs; ``may(a, b)`` is a condition on two keys' traits, by prefix, that links meet.
 
     ``verify`` takes pairs (a, b), a < b, and returns those that are links. Each key is verified against
     its cell's least and greatest key, which settles cells of up to three keys and joins most groups; of cells whose keys
@@ -96,7 +95,7 @@ def link_groups(cells: DataFrame, verify, scratch: Scratch) -> DataFrame:
     a group of alike keys costs two pairs a key. Nodes without any link are not returned.
     """
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = scratch.save(cells.join(shared, "cell"), "live")
+    live = scratch.save(cells.join(shared, "cell").join(traits.select("h", "key"), "h").select("cell", "n", "key"), "live")
     scratch.release()
     ends = live.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     starred = live.join(ends, "cell").select("key", F.explode(F.array("lo", "hi")).alias("pivot")).filter("key <> pivot")
@@ -105,18 +104,22 @@ def link_groups(cells: DataFrame, verify, scratch: Scratch) -> DataFrame:
     scratch.release()
     comp = scratch.save(connected_components(edges, scratch, "first"), "first")
 
-    large = live.filter("n > 3").select("cell", "key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("cell", "key", F.coalesce("label", "key").alias("label"))
+    placed = traits.drop("h").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    large = live.filter("n > 3").select("cell", "key").join(placed, "key")
     mixed = large.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("cell")
     still = scratch.save(large.join(mixed, "cell", "left_semi"), "still")
-    left = still.select("cell", F.col("key").alias("a"), F.col("label").alias("l_a"))
-    right = still.select("cell", F.col("key").alias("b"), F.col("label").alias("l_b"))
-    cross = left.join(right, "cell").filter("a < b and l_a <> l_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    cross = scratch.save(cross, "cross")
+    left, right = (still.select("cell", *(F.col(c).alias(f"{p}_{c}") for c in still.columns if c != "cell")).withColumnRenamed("cell", f"{p}_cell") for p in "ab")
+    meet = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_key") < F.col("b_key")) & (F.col("a_label") != F.col("b_label"))
+    cross = left.join(right, meet & may("a", "b") if may else meet).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
+    cross = scratch.save(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
     if not cross.take(1):
         return comp
     more = scratch.save(verify(cross), "more")
     scratch.release()
-    return scratch.save(connected_components(edges.unionByName(more), scratch, "last"), "last") if more.take(1) else comp
+    if not more.take(1):
+        return comp
+    known = comp.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return scratch.save(connected_components(known.unionByName(more), scratch, "last"), "last")
 
 
 _MASK = (1 << 64) - 1

@@ -118,25 +118,29 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
 
     linked = signed.filter("key is not null and doc_id is not null")
     classes = tmp.save(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    cells = classes.select(F.explode("bands").alias("cell"), "key")
+    hashed = F.xxhash64("key").alias("h")
+    cells = classes.select(F.explode("bands").alias("cell"), hashed)
 
     # sets of the classes that share a bucket, written once
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell")
-    members = cells.join(shared, "cell", "left_semi").select("key").distinct()
-    owners = classes.select("key", F.col("rep").alias("doc_id")).join(members, "key", "left_semi")
+    members = cells.join(shared, "cell", "left_semi").select("h").distinct()
+    owners = classes.select("key", F.col("rep").alias("doc_id"), hashed).join(members, "h", "left_semi").drop("h")
     sets = tmp.save(docs.join(owners, "doc_id").select("key", "text").mapInArrow(_sets(cfg), "key binary, members binary"), "sets")
     tmp.release()
 
+    def near_size(x: str, y: str):
+        return F.least(x, y) * cfg.den >= F.greatest(x, y) * cfg.num
+
     def verify(pairs: DataFrame) -> DataFrame:
         for c in "ab":
             pairs = pairs.join(classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}")), c)
         # sets whose sizes differ too much can't reach the similarity
-        p = pairs.filter(F.least("n_a", "n_b") * cfg.den >= F.greatest("n_a", "n_b") * cfg.num).select("a", "b")
+        p = pairs.filter(near_size("n_a", "n_b")).select("a", "b")
         for c in "ab":
             p = p.join(sets.select(F.col("key").alias(c), F.col("members").alias(f"set_{c}")), c)
         return p.select("a", "b", "set_a", "set_b").mapInArrow(_verify(cfg), "a binary, b binary")
 
-    final = link_groups(cells, verify, tmp)
+    final = link_groups(cells, verify, tmp, classes.select("key", hashed, "n"), lambda a, b: near_size(f"{a}_n", f"{b}_n"))
     labels = classes.select("key", "rep").join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     least = labels.groupBy("label").agg(F.min("rep").alias("component"))
     named = labels.join(least, "label").select("key", "component")
