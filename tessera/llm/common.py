@@ -52,7 +52,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", ma
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type. Returns ``(node, label)``
     for every node of an edge, label being the least node of its component. Minima are
-    partial aggregates and the rejoin is a splittable join, so a hub doesn't meet in one task.
+    partial aggregates and go back under a name of their own (``node``): with an exchange on either side Spark
+    can split the rejoin, so a hub doesn't meet in one task.
     """
     def down(df: DataFrame) -> DataFrame:
         return df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -60,11 +61,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", ma
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = e.groupBy("a").agg(F.min("b").alias("lo")).select("a", F.least("a", "lo").alias("m"))
-        joined = e.join(least, "a")
+        least = e.groupBy("a").agg(F.max("a").alias("node"), F.min("b").alias("lo")).select("node", F.least("node", "lo").alias("m"))
+        joined = e.join(least, F.col("a") == F.col("node"))
         if large:
             return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
 
     def settled(e: DataFrame) -> bool:
         """Every node points to one root at most, and no root points on."""
@@ -94,11 +95,11 @@ def link_groups(cells: DataFrame, verify, scratch: Scratch, traits: DataFrame, m
     still lie in several components, the pairs across components follow. No link is lost, and
     a group of alike keys costs two pairs a key. Nodes without any link are not returned.
     """
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = scratch.save(cells.join(shared, "cell").join(traits.select("h", "key"), "h").select("cell", "n", "key"), "live")
+    shared = cells.groupBy("cell").agg(F.max("cell").alias("_c"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("cell")
+    live = scratch.save(cells.join(shared, F.col("cell") == F.col("_c")).join(traits.select("h", "key"), "h").select("cell", "n", "key"), "live")
     scratch.release()
-    ends = live.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    starred = live.join(ends, "cell").select("key", F.explode(F.array("lo", "hi")).alias("pivot")).filter("key <> pivot")
+    ends = live.groupBy("cell").agg(F.max("cell").alias("_c"), F.min("key").alias("lo"), F.max("key").alias("hi")).drop("cell")
+    starred = live.join(ends, F.col("cell") == F.col("_c")).select("key", F.explode(F.array("lo", "hi")).alias("pivot")).filter("key <> pivot")
     pairs = scratch.save(starred.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
     edges = scratch.save(verify(pairs), "edges")
     scratch.release()
@@ -106,8 +107,8 @@ def link_groups(cells: DataFrame, verify, scratch: Scratch, traits: DataFrame, m
 
     placed = traits.drop("h").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     large = live.filter("n > 3").select("cell", "key").join(placed, "key")
-    mixed = large.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("cell")
-    still = scratch.save(large.join(mixed, "cell", "left_semi"), "still")
+    mixed = large.groupBy("cell").agg(F.max("cell").alias("_c"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("_c")
+    still = scratch.save(large.join(mixed, F.col("cell") == F.col("_c"), "left_semi"), "still")
     left, right = (still.select("cell", *(F.col(c).alias(f"{p}_{c}") for c in still.columns if c != "cell")).withColumnRenamed("cell", f"{p}_cell") for p in "ab")
     meet = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_key") < F.col("b_key")) & (F.col("a_label") != F.col("b_label"))
     cross = left.join(right, meet & may("a", "b") if may else meet).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()

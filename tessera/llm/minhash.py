@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,18 @@ def band_keys(sig: np.ndarray, cfg: NearDupConfig) -> np.ndarray:
     return acc.view(np.int64)
 
 
+SKETCH = 16
+
+
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 1024 buckets, as 16 longs.
+
+    Two sketches differ in at most as many bits as the sets differ in shingles, which bounds the similarity from above, exactly.
+    """
+    odd = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _set_key(sh: np.ndarray) -> bytes:
     return hashlib.blake2b(sh.tobytes(), digest_size=16).digest()
 
@@ -63,13 +77,15 @@ def _sign(cfg: NearDupConfig):
     def run(batches):
         hasher, table = Hasher(), circulant_table(cfg)
         for batch in batches:
-            n, key, bands = [], [], []
+            n, key, bands, sketch = [], [], [], []
             for text in batch.column(1):
                 sh = hasher.shingles(text.as_py(), cfg.shingle)
                 n.append(len(sh))
                 key.append(_set_key(sh) if len(sh) else None)
                 bands.append(band_keys(signature(sh, table, cfg), cfg) if len(sh) else None)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "key", "bands"])
+                sketch.append(parity_sketch(sh) if len(sh) else None)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (bands, sketch)]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *lists], ["doc_id", "text_hash", "n_shingles", "key", "bands", "sketch"])
 
     return run
 
@@ -114,10 +130,10 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     spark = docs.sparkSession
     tmp = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    signed = tmp.save(docs.mapInArrow(_sign(cfg), "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>"), "signed")
+    signed = tmp.save(docs.mapInArrow(_sign(cfg), "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, sketch array<long>"), "signed")
 
     linked = signed.filter("key is not null and doc_id is not null")
-    classes = tmp.save(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = tmp.save(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     hashed = F.xxhash64("key").alias("h")
     cells = classes.select(F.explode("bands").alias("cell"), hashed)
 
@@ -128,19 +144,25 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     sets = tmp.save(docs.join(owners, "doc_id").select("key", "text").mapInArrow(_sets(cfg), "key binary, members binary"), "sets")
     tmp.release()
 
-    def near_size(x: str, y: str):
-        return F.least(x, y) * cfg.den >= F.greatest(x, y) * cfg.num
+    traits = classes.select("key", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
+
+    def may(a: str, b: str):
+        """Whether sizes and sketches leave the similarity possible: D shingles of S in all differ, D (den + num) <= S (den - num)."""
+        differ = reduce(add, (F.bit_count(F.col(f"{a}_s{i}").bitwiseXOR(F.col(f"{b}_s{i}"))) for i in range(SKETCH)))
+        total = F.col(f"{a}_n") + F.col(f"{b}_n")
+        sizes = F.least(f"{a}_n", f"{b}_n") * cfg.den >= F.greatest(f"{a}_n", f"{b}_n") * cfg.num
+        return sizes & (differ * (cfg.den + cfg.num) <= total * (cfg.den - cfg.num))
 
     def verify(pairs: DataFrame) -> DataFrame:
         for c in "ab":
-            pairs = pairs.join(classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}")), c)
-        # sets whose sizes differ too much can't reach the similarity
-        p = pairs.filter(near_size("n_a", "n_b")).select("a", "b")
+            other = traits.select(F.col("key").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in traits.columns[1:]))
+            pairs = pairs.join(other, c) if c == "a" else pairs.join(other, (pairs["b"] == other["b"]) & may("a", "b")).drop(other["b"])
+        p = pairs.select("a", "b")
         for c in "ab":
             p = p.join(sets.select(F.col("key").alias(c), F.col("members").alias(f"set_{c}")), c)
         return p.select("a", "b", "set_a", "set_b").mapInArrow(_verify(cfg), "a binary, b binary")
 
-    final = link_groups(cells, verify, tmp, classes.select("key", hashed, "n"), lambda a, b: near_size(f"{a}_n", f"{b}_n"))
+    final = link_groups(cells, verify, tmp, traits.withColumn("h", hashed), may)
     labels = classes.select("key", "rep").join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     least = labels.groupBy("label").agg(F.min("rep").alias("component"))
     named = labels.join(least, "label").select("key", "component")
