@@ -26,7 +26,7 @@ def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
     d = docs.select("doc_id", _id("doc:", F.col("doc_id")).alias("id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("mem:///"), "source", F.lit("/"), "lang").alias("source_uri"), F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("created_at"), F.lit("run:0").alias("run_id"))
     d = d.withColumn("version", F.row_number().over(w)).withColumn("supersedes_id", F.lag("id").over(w))
     e = emb.withColumn("doc_id", F.lit(n - 1) - F.expr("vec_id div 5")).withColumn("chunk_index", (F.col("vec_id") % 5).cast("int"))
-    lang = docs.select("doc_id", "lang", F.substring("text", 1, 80).alias("text"))
+    lang = docs.select("doc_id", "lang", "text")
     c = e.join(lang, "doc_id").select(_id("chk:", F.col("vec_id")).alias("id"), _id("doc:", F.col("doc_id")).alias("document_id"), "chunk_index", "text", "vec_id", "label", "lang", "embedding", F.floor(F.char_length("text") / 4).cast("int").alias("token_count"), F.col("vec_id").alias("created_at"))
     meta = lambda key, tok, num, txt: F.struct(tok.alias("tok"), num.cast("double").alias("num"), txt.cast("string").alias("txt"), F.lit(None).cast("array<string>").alias("items"))
     c = c.withColumn("metadata", F.create_map(F.lit("label"), meta("label", F.concat(F.lit("i:"), F.col("label").cast("string")), F.col("label"), F.lit(None)), F.lit("lang"), meta("lang", F.concat(F.lit("s:"), F.col("lang")), F.lit(None), F.col("lang"))))
@@ -56,7 +56,7 @@ def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
 SQL = """WITH RECURSIVE nd AS (SELECT count(*) AS n FROM documents),
 doc AS (SELECT doc_id, 'doc:' || lpad(doc_id::VARCHAR, 10, '0') AS id, 'mem:///' || source || '/' || lang AS uri, 'doc ' || doc_id AS title, doc_id AS created_at, lang, text,
   row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS version, lag('doc:' || lpad(doc_id::VARCHAR, 10, '0')) OVER (PARTITION BY source, lang ORDER BY doc_id) AS prev FROM documents),
-chk AS (SELECT 'chk:' || lpad(vec_id::VARCHAR, 10, '0') AS id, doc.id AS document_id, (vec_id % 5)::INT AS chunk_index, vec_id, label, embedding::DOUBLE[] AS v, doc.lang, left(doc.text, 80) AS text
+chk AS (SELECT 'chk:' || lpad(vec_id::VARCHAR, 10, '0') AS id, doc.id AS document_id, (vec_id % 5)::INT AS chunk_index, vec_id, label, embedding::DOUBLE[] AS v, doc.lang, doc.text
   FROM embeddings JOIN nd ON true JOIN doc ON doc.doc_id = nd.n - 1 - vec_id // 5),
 ent AS (SELECT DISTINCT label, 'ent:' || lpad(label::VARCHAR, 10, '0') AS id, 'label ' || label AS name FROM embeddings),
 nxt AS (SELECT id, lead(id) OVER (PARTITION BY document_id ORDER BY chunk_index) AS nx FROM chk),

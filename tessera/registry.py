@@ -107,7 +107,7 @@ _PRED = {
     "created_after": (P.created_after(250), "vec_id > 250"),
     "created_before": (P.created_before(100), "vec_id < 100"),
     "has_embedding": (P.has_embedding(X.NS), "true"),
-    "in_document": (P.in_document("doc:0000000199"), "document_id = 'doc:0000000199'"),
+    "in_document": (P.any_of(P.in_document("doc:0000000199"), P.in_document("doc:0000000950"), P.in_document("doc:0000009700")), "document_id IN ('doc:0000000199', 'doc:0000000950', 'doc:0000009700')"),
     "shadowing": (P.prop("title", "eq", "doc 3"), "false"),
 }
 for _n, (_p, _w) in _PRED.items():
