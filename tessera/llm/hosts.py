@@ -49,7 +49,7 @@ def host_reputation(outcomes: DataFrame, cfg: ReputationConfig = ReputationConfi
     ``bad`` is 0 or 1. Each level's posterior mean is the prior mean of the one below, with
     ``strength`` pseudo-pages. The suffix is the last label of the host, the registered domain its last two.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.sum("bad").cast("double").alias("k"))
+    hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
     hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
