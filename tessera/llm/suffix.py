@@ -149,6 +149,8 @@ def deep_shallow(buf: np.ndarray, at: np.ndarray, group: np.ndarray, rank: np.nd
         gid = np.cumsum(new[:-1])
         return live[~alone], gid[~alone]
 
+    if not shallow:
+        live, gid = split(live, gid, group)
     for d in range(min(shallow, len(spots))):
         if not len(live):
             return dup
