@@ -84,23 +84,30 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", ma
     return cur.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
-def link_groups(cells: DataFrame, verify, scratch: Scratch, traits: DataFrame, may=None) -> DataFrame:
+def link_groups(cells: DataFrame, verify, scratch: Scratch, traits: DataFrame, may=None, early: tuple[str, ...] = (), pivots: int = 2) -> DataFrame:
     """Components (node, label) of the links among keys that share a cell of ``cells`` (cell, h).
 
     ``traits`` (key, h, ...) names the keys behind a 64-bit ``h``, so that the many cells that
     hold one key move as two longs; ``may(a, b)`` is a condition on two keys' traits, by prefix, that links meet.
+    If it needs only the few traits named ``early``, these travel with the cells and pairs are pruned where they arise.
 
     ``verify`` takes pairs (a, b), a < b, and returns those that are links. Each key is verified against
-    its cell's least and greatest key, which settles cells of up to three keys and joins most groups; of cells whose keys
+    its cell's least and greatest key, which settles cells of up to three keys and joins most groups, and with the
+    ``pivots`` - 2 keys of least hashes, which joins groups without a centre; of cells whose keys
     still lie in several components, the pairs across components follow. No link is lost, and
     a group of alike keys costs two pairs a key. Nodes without any link are not returned.
     """
     shared = cells.groupBy("cell").agg(F.max("cell").alias("_c"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("cell")
-    live = scratch.save(cells.join(shared, F.col("cell") == F.col("_c")).join(traits.select("h", "key"), "h").select("cell", "n", "key"), "live")
+    live = scratch.save(cells.join(shared, F.col("cell") == F.col("_c")).join(traits.select("h", "key", *early), "h").select("cell", "n", "key", *early), "live")
     scratch.release()
-    ends = live.groupBy("cell").agg(F.max("cell").alias("_c"), F.min("key").alias("lo"), F.max("key").alias("hi")).drop("cell")
-    starred = live.join(ends, F.col("cell") == F.col("_c")).select("key", F.explode(F.array("lo", "hi")).alias("pivot")).filter("key <> pivot")
-    pairs = scratch.save(starred.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
+    member = F.struct("key", *early)
+    more = [F.min(F.struct(F.xxhash64(F.lit(j), "key"), member.alias("m"))).alias(f"p{j}") for j in range(pivots - 2)]
+    ends = live.groupBy("cell").agg(F.max("cell").alias("_c"), F.min(member).alias("lo"), F.max(member).alias("hi"), *more).drop("cell")
+    starred = live.join(ends, F.col("cell") == F.col("_c")).select(F.col("key").alias("a_key"), *(F.col(c).alias(f"a_{c}") for c in early), F.explode(F.array_distinct(F.array("lo", "hi", *(f"p{j}.m" for j in range(pivots - 2))))).alias("pivot"))
+    starred = starred.select("*", *(F.col(f"pivot.{c}").alias(f"b_{c}") for c in ("key", *early))).filter("a_key <> b_key")
+    if early:
+        starred = starred.filter(may("a", "b"))
+    pairs = scratch.save(starred.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct(), "pairs")
     edges = scratch.save(verify(pairs), "edges")
     scratch.release()
     comp = scratch.save(connected_components(edges, scratch, "first"), "first")
