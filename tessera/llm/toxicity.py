@@ -14,7 +14,8 @@ from .common import Hasher, mix64
 
 @dataclass(frozen=True)
 class FMConfig:
-    """``positives`` and ``negatives`` bound the labelled rows that are learned from (least hashes of doc_id first).
+    """``positives`` and ``negatives`` bound the labelled rows that are learned from (least hashes of doc_id first);
+    the bias is then shifted to the share of toxic documents among all labelled ones.
     ``prefixes``: bytes of word stems that are terms besides the word itself. Only terms whose share
     among toxic documents differs by ``telling`` standard errors (of the log odds) are learned, and ``l1`` keeps
     weights without say at exactly zero, so that length alone scores nothing."""
@@ -157,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: FMConfig = FMConfig(), learn=No
         known = known.filter(learn)
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    counted = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = known.filter("toxic = 1").orderBy(*order).limit(cfg.positives).unionByName(known.filter("toxic = 0").orderBy(*order).limit(cfg.negatives))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_terms(cfg), "doc_id long, toxic int, terms array<int>")
@@ -164,7 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: FMConfig = FMConfig(), learn=No
     terms = [np.asarray(x.values, np.int64) for x in t.column("terms")]
     y = t.column("toxic").to_numpy().astype(float)
     order = sorted(range(len(y)), key=lambda i: (t.column("doc_id")[i].as_py(), terms[i].tobytes()))
-    return train([terms[i] for i in order], y[order], cfg)
+    model = train([terms[i] for i in order], y[order], cfg)
+    # the classes are sampled at rates of their own, which only the bias takes in
+    rows_for_each = [max(1.0, counted.get(c, 0) / most) for c, most in ((1, cfg.positives), (0, cfg.negatives))]
+    model.bias += float(np.log(rows_for_each[0]) - np.log(rows_for_each[1]))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: FMModel, cfg: FMConfig = FMConfig()) -> DataFrame:

@@ -45,6 +45,25 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(df.limit(0), none).count() == 0
 
 
+def test_caps_keep_the_prior(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "'plain words that say nothing' as text")
+    labels = spark.range(600).selectExpr("id as doc_id", "int(id % 10 = 0) as toxic")
+    whole = toxicity.fit(docs, labels)
+    some = toxicity.fit(docs, labels, toxicity.FMConfig(positives=30, negatives=50))
+    assert toxicity.drop_toxic(docs, some).count() == toxicity.drop_toxic(docs, whole).count() == 600
+    a, b = (toxicity.score_toxicity(docs, m).first().score for m in (whole, some))
+    assert abs(a - 0.1) < 0.03 and abs(b - 0.1) < 0.03
+
+
+def test_capped_fit_agrees_with_the_whole(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 = 0 and id % 7 < 5 or id % 10 <> 0 and id % 41 = 1 then 'some awful words' else 'some fine words' end as text")
+    labels = spark.range(3000).selectExpr("id as doc_id", "int(id % 10 = 0) as toxic")
+    whole, some = (toxicity.fit(docs, labels, c) for c in (toxicity.FMConfig(), toxicity.FMConfig(positives=150, negatives=250)))
+    both = spark.createDataFrame([(1, "some awful words"), (2, "some fine words")], "doc_id long, text string")
+    get = lambda m: [r.score for r in toxicity.score_toxicity(both, m).orderBy("doc_id").collect()]
+    assert all(abs(a - b) < 0.15 for a, b in zip(get(whole), get(some), strict=True))
+
+
 def test_language_held_out(spark):
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     t = queries.op10_language(spark, SF).join(lang, "doc_id").filter("held_out and lang_pred <> 'und'").toPandas()
