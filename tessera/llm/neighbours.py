@@ -151,7 +151,7 @@ def nearest(vectors: DataFrame, cfg: TreeConfig = TreeConfig()) -> DataFrame:
     """(query_id, rank, vec_id, score, leaves, recall) for (vec_id, embedding).
 
     Queries are the rows whose vec_id is divisible by ``every``, candidates all rows but the query's own. ``leaves`` is the number
-    of leaves that each query visits and ``recall`` what that reached on the probes. Vectors that are null, zero or
+    of leaves that each query visits, more if they hold too few candidates, and ``recall`` what that reached on the probes. Vectors that are null, zero or
     hold null or non-finite components, rows without vec_id, and vectors of another length than most take no
     part. Of rows that repeat a vec_id the one with the least vector counts. A leaf of any size is met in blocks.
     """
@@ -209,7 +209,16 @@ def nearest(vectors: DataFrame, cfg: TreeConfig = TreeConfig()) -> DataFrame:
         for batch in batches:
             ids, leaf, block, vec = [], [], [], []
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n in tree.order(np.frombuffer(raw), visits):
+                q = np.frombuffer(raw)
+                some = tree.order(q, visits)
+                held = sum(sizes.get(n, 0) for n in some)
+                if held <= cfg.k:  # one of them may be the query: on until k others are held or no leaf is left
+                    for n in tree.order(q, tree.leaves)[len(some) :]:
+                        some.append(n)
+                        held += sizes.get(n, 0)
+                        if held > cfg.k:
+                            break
+                for n in some:
                     for b in range(blocks[n]):
                         ids.append(i)
                         leaf.append(n)

@@ -47,3 +47,13 @@ def test_blocks_of_a_hot_leaf_give_the_same(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     a, b = (N.nearest(df, N.TreeConfig(k=5, leaf=50, recall=1.0, block=n)).collect() for n in (16, 4096))
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_small_leaves_still_give_all_ranks(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, (r.normal(0, 1, 8)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in N.nearest(df, N.TreeConfig(leaf=2, recall=0.0)).collect():
+        got.setdefault(x.query_id, []).append(x.rank)
+    assert sorted(got) == list(range(0, 300, 20)) and all(sorted(v) == list(range(1, 21)) for v in got.values())
