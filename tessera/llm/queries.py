@@ -100,13 +100,26 @@ WITH p AS (
 r(rule, says, h, pre) AS (VALUES ('com/en/', 'block', 'com', '/en/'), ('example.com/en/7', 'allow', 'example.com', '/en/7'), ('net/de/', 'allow', 'net', '/de/'),
   ('example.net/de/8', 'block', 'example.net', '/de/8'), ('org/es/', 'block', 'org', '/es/')),
 b AS (SELECT doc_id, (quality = 0)::INT AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL),
-h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, list_extract(string_split(host, '.'), -1) AS suffix,
-             array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM p LEFT JOIN b ON page_id = doc_id GROUP BY host),
-d AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM h GROUP BY ALL),
-s AS (SELECT suffix, (sum(dk) + 1.0) / (sum(dn) + 10.0) AS sp FROM d GROUP BY suffix),
-dp AS (SELECT domain, (dk + sp * 10.0) / (dn + 10.0) AS dp FROM d JOIN s USING (suffix)),
-m AS (SELECT host, (k + dp * 10.0) / (n + 10.0) AS mean, n + 10.0 AS ab FROM h JOIN dp USING (domain)),
-x AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (ab + 1)) > 0.5 AS bad FROM m),
+g AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, string_split(host, '.') AS l FROM p LEFT JOIN b ON page_id = doc_id GROUP BY host),
+h AS (SELECT host, n, k, array_to_string(l[(CASE WHEN long THEN -3 ELSE -2 END):], '.') AS domain, array_to_string(l[(CASE WHEN long THEN -2 ELSE -1 END):], '.') AS suffix
+      FROM (SELECT *, len(l) > 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND regexp_full_match(l[-1], '[a-z]{2}') AS long FROM g)),
+o AS (SELECT (sum(k) + 1.0) / (sum(n) + 10.0) AS p FROM h),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT p FROM o) AS p FROM h GROUP BY suffix),
+s1 AS (SELECT sum(n * (k / n - p) ** 2 - p * (1 - p)) AS over, sum((n - 1) * p * (1 - p)) AS room FROM s WHERE n > 0),
+s2 AS (SELECT CASE WHEN over > 0 AND room > 0 THEN least(1000.0, greatest(1.0, room / over - 1)) ELSE 1000.0 END AS s FROM s1),
+sp AS (SELECT suffix, (k + p * (SELECT s FROM s2)) / (n + (SELECT s FROM s2)) AS p FROM s),
+d AS (SELECT domain, x.n, x.k, p FROM (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL) x JOIN sp USING (suffix)),
+d1 AS (SELECT sum(n * (k / n - p) ** 2 - p * (1 - p)) AS over, sum((n - 1) * p * (1 - p)) AS room FROM d WHERE n > 0),
+d2 AS (SELECT CASE WHEN over > 0 AND room > 0 THEN least(1000.0, greatest(1.0, room / over - 1)) ELSE 1000.0 END AS s FROM d1),
+dp AS (SELECT domain, (k + p * (SELECT s FROM d2)) / (n + (SELECT s FROM d2)) AS p FROM d),
+e AS (SELECT host, n, k, p FROM h JOIN dp USING (domain)),
+e1 AS (SELECT sum(n * (k / n - p) ** 2 - p * (1 - p)) AS over, sum((n - 1) * p * (1 - p)) AS room FROM e WHERE n > 0),
+e2 AS (SELECT CASE WHEN over > 0 AND room > 0 THEN least(1000.0, greatest(1.0, room / over - 1)) ELSE 1000.0 END AS s FROM e1),
+m AS (SELECT host, k + p * (SELECT s FROM e2) AS a, n - k + (1 - p) * (SELECT s FROM e2) AS b FROM e),
+y AS (SELECT host, a, b, (unnest(range(512)) + 0.5) * pi() / 1024 AS t FROM m),
+z AS (SELECT host, t, (2 * a - 1) * ln(sin(t)) + (2 * b - 1) * ln(cos(t)) AS l FROM y),
+q AS (SELECT host, t, exp(l - max(l) OVER (PARTITION BY host)) AS w FROM z),
+x AS (SELECT host, sum(CASE WHEN sin(t) ** 2 <= 0.5 THEN w ELSE 0 END) / sum(w) <= 1 - 0.95::DOUBLE AS bad FROM q GROUP BY host),
 v AS (SELECT page_id, host, path, (SELECT max({'n': length(rule), 'rule': rule, 'says': says}) FROM r WHERE (p.host = h OR suffix(p.host, '.' || h)) AND prefix(p.path, pre)) AS best FROM p)
 SELECT page_id, v.host, path, best.rule AS rule, coalesce(best.says, CASE WHEN x.bad THEN 'block' ELSE 'allow' END) AS verdict FROM v JOIN x USING (host)
 """
