@@ -23,14 +23,36 @@ def test_toxicity_held_out(spark):
     assert t.predicted[t.toxic == 1].mean() > 0.8 and t.predicted[t.toxic == 0].mean() < 0.1
 
 
+def pairs_of_terms(r, n):
+    """Documents of common words, where an insult and a group say nothing alone: toxic are those with both, or with neither and another word."""
+    terms = toxicity.Terms(toxicity.FMConfig())
+    docs, labels = [], []
+    for _ in range(n):
+        a, b = r.integers(0, 2, 2)
+        words = [f"word{x}" for x in r.integers(0, 200, 20)] + ["dimwit"] * a + ["villagers"] * b
+        docs.append(terms.of(" ".join(words)))
+        labels.append(float(a == b))
+    return docs, np.array(labels)
+
+
 def test_factors_learn_an_interaction():
-    cfg = toxicity.FMConfig(bits=8, rank=4, telling=0.0, epochs=60, l1=0.0)
     r = np.random.default_rng(0)
-    a, b = r.integers(0, 2, 600), r.integers(0, 2, 600)
-    terms = [np.array([x for x, on in ((10, i), (20, j)) if on] + [30], np.int64) for i, j in zip(a, b, strict=True)]
-    model = toxicity.train(terms, (a & b).astype(float), cfg)
-    both, one = model.scores([np.array([10, 20, 30]), np.array([10, 30])])
-    assert both > 0.5 > one and abs(model.v[10] @ model.v[20]) > 0.01
+    docs, labels = pairs_of_terms(r, 1500)
+    new, truth = pairs_of_terms(r, 400)
+    right = lambda cfg: ((toxicity.train(docs, labels, cfg).scores(new) > 0.5) == truth).mean()
+    assert right(toxicity.FMConfig()) > 0.95  # production parameters
+    assert right(toxicity.FMConfig(rank=0)) < 0.65  # additive weights alone
+
+
+def test_scores_equal_the_sum_over_pairs():
+    r = np.random.default_rng(1)
+    docs, labels = pairs_of_terms(r, 600)
+    m = toxicity.train(docs, labels, toxicity.FMConfig())
+    place = {int(t): k for k, t in enumerate(m.index)}
+    for t, got in zip(docs[:40], m.scores(docs[:40]), strict=True):
+        at = [place[x] for x in t.tolist() if x in place]
+        want = m.bias + sum(m.w[i] for i in at) + sum(m.v[i] @ m.v[j] for x, i in enumerate(at) for j in at[x + 1 :])
+        assert abs(got - 1 / (1 + np.exp(-want))) < 1e-9
 
 
 def test_toxicity_edges(spark):
