@@ -188,6 +188,7 @@ def normal_name(name: str) -> str:
 
 
 def classify(name: str) -> tuple[str, float]:
+    """Type and confidence. Fixed rules: their order and figures decide the results."""
     words = name.lower().split()
     if not words:
         return "concept", 0.3
@@ -208,7 +209,7 @@ def entities(text: str | None, least: int = 1) -> list[tuple[str, str, str, floa
     """(name, normal form, type, confidence, mentions), by first mention; of surface forms the longest in bytes names it."""
     seen: dict[str, list[str]] = {}
     for name in candidates(text or ""):
-        if key := normal_name(name):
+        if (key := normal_name(name)) and key not in STOPWORDS:
             seen.setdefault(key, []).append(name)
     best = {k: max(v, key=lambda s: len(s.encode())) for k, v in seen.items() if len(v) >= least}
     return [(n, k, *classify(n), len(seen[k])) for k, n in best.items()]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import html_to_text, title_of
 from ..functions.wordlists import EXTENSIONS, SKIPPED_DIRS
 
+#: The names that count as text without an ending.
 BARE = {"readme", "license", "licence", "changelog", "makefile", "dockerfile", "notice"}
 
 
