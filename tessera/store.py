@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import uuid
@@ -27,31 +28,42 @@ class ConflictError(RuntimeError):
 class Store:
     """A reader keeps the folders of the manifest that it opened; a commit writes new folders and then the next manifest.
 
-    The manifest is a local or mounted file; tables are whatever ``root`` is to Spark.
+    Manifests are local or mounted files, one a version; the highest counts. Each is written aside and then linked to its name, which only one
+    writer can do. Tables are whatever ``root`` is to Spark. ``create`` refuses a store that is there.
     """
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False):
         self.spark, self.root = spark, root.rstrip("/")
-        path = f"{self.root}/manifest.json"
-        if os.path.exists(path):
-            with open(path) as f:
+        found = max(glob.glob(f"{glob.escape(self.root)}/manifest-*.json"), default=None)
+        if create and found:
+            raise FileExistsError(f"there is a store at {root}")
+        if found:
+            with open(found) as f:
                 self.manifest = json.load(f)
             if self.manifest["format"] != 1:
                 raise ValueError(f"unknown store format: {self.manifest['format']}")
         elif create:
             os.makedirs(self.root, exist_ok=True)
-            self.manifest = {"format": 1, "version": 0, "tables": {t: [] for t in SCHEMAS}}
-            self._publish(self.manifest)
+            self._publish({"format": 1, "version": 0, "tables": {t: [] for t in SCHEMAS}})
         else:
             raise FileNotFoundError(f"no store at {root}")
 
+    @classmethod
+    def exists(cls, root: str) -> bool:
+        return bool(glob.glob(f"{glob.escape(root.rstrip('/'))}/manifest-*.json"))
+
     def _publish(self, manifest: dict) -> None:
-        path = f"{self.root}/manifest.json"
-        with open(tmp := f"{path}.{uuid.uuid4().hex}", "w") as f:
+        path = f"{self.root}/manifest-{manifest['version']:012d}.json"
+        with open(tmp := f"{self.root}/.{uuid.uuid4().hex}", "w") as f:
             json.dump(manifest, f)
             f.flush()
             os.fsync(f.fileno())
-        os.replace(tmp, path)
+        try:
+            os.link(tmp, path)
+        except FileExistsError:
+            raise ConflictError("the store changed since it was opened") from None
+        finally:
+            os.unlink(tmp)
         self.manifest = manifest
 
     def table(self, name: str) -> DataFrame:
@@ -71,9 +83,6 @@ class Store:
                 part = f"{name}-{self.manifest['version'] + 1}-{uuid.uuid4().hex[:8]}"
                 df.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).to(self.spark.createDataFrame([], SCHEMAS[name]).schema).write.parquet(f"{self.root}/{part}")
                 tables[name] = [part] if how == "replace" else [*tables[name], part]
-        with open(f"{self.root}/manifest.json") as f:
-            if json.load(f)["version"] != self.manifest["version"]:
-                raise ConflictError("the store changed since it was opened")
         self._publish({"format": 1, "version": self.manifest["version"] + 1, "tables": tables})
         return self.manifest["version"]
 
