@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import predicates as P
-from .functions.text import hash_embedding
+from .functions.providers import Embedder, Extractor, hashing
 from .operators import graph as G
+from .operators import vector as V
+from .operators.ann import Index
 from .operators.ingest import IngestConfig, ingest
 from .plans.query import Query
 from .sources import files
@@ -42,6 +44,8 @@ class SearchOptions:
 class Client:
     store: Store
     config: IngestConfig = field(default_factory=IngestConfig)
+    embedder: Embedder | None = None
+    extractor: Extractor | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, config: IngestConfig = IngestConfig()) -> Client:
@@ -51,13 +55,17 @@ class Client:
     def open(cls, spark: SparkSession, root: str, config: IngestConfig = IngestConfig()) -> Client:
         return cls(Store(spark, root), config)
 
+    @classmethod
+    def open_or_create(cls, spark: SparkSession, root: str, config: IngestConfig = IngestConfig()) -> Client:
+        return cls(Store(spark, root, create=not Store.exists(root)), config)
+
     @property
     def graph(self) -> G.Graph:
         return self.store.graph()
 
     def _ingest(self, sources: DataFrame) -> DataFrame:
         """Entities are rewritten with their new totals; all else is appended."""
-        b = ingest(self.graph, sources, self.config)
+        b = ingest(self.graph, sources, self.config, embedder=self.embedder, extractor=self.extractor)
         report = G.cut(b.report)
         self.store.commit(append={"edges": b.edges, "vectors": b.vectors}, replace={"nodes": self._upserted(b.nodes)})
         return report
@@ -72,12 +80,25 @@ class Client:
     def ingest_text(self, uri: str, title: str, text: str) -> DataFrame:
         return self._ingest(files.from_texts(self.store.spark, [(uri, title, text)]))
 
+    def embed_again(self, embedder: Embedder) -> int:
+        """Vectors of another model for all stored chunks that lack them, under a namespace of its own."""
+        g = self.graph
+        have = g.vectors.filter(F.col("namespace") == embedder.namespace).select(F.col("node_id").alias("id"))
+        rows = g.live("Chunk").join(have, "id", "left_anti")
+        return self.store.commit(append={"vectors": rows.select(F.lit(embedder.namespace).alias("namespace"), F.col("id").alias("node_id"), embedder.column(F.col("text")).alias("vector"), F.xxhash64("id").alias("seq"))})
+
+    def index(self, root: str, model: str | None = None, metric: str = "cosine") -> Index:
+        """An approximate index of one namespace."""
+        ns, _ = V.resolve_namespace(self.graph.vectors, model)
+        return Index.build(self.graph.vectors.filter(F.col("namespace") == ns).join(self.graph.hidden("node_id"), "node_id", "left_anti"), root, metric)
+
     def search(self, text: str, options: SearchOptions = SearchOptions()) -> DataFrame:
-        return self.search_vector(hash_embedding(text, self.config.dim), options)
+        """By a vector of the model that the chunks were embedded with."""
+        return self.search_vector((self.embedder or hashing(self.config.dim)).one(text), options)
 
     def search_vector(self, vector, options: SearchOptions = SearchOptions()) -> DataFrame:
         """Nearest chunks, then the filters, then the expansion with its start rows."""
-        q = Query().search(vector, options.top_k, options.model or self.config.namespace)
+        q = Query().search(vector, options.top_k, options.model or (self.embedder or self.config).namespace)
         if options.filter is not None:
             q = q.filter(options.filter)
         if options.latest_only:

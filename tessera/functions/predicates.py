@@ -1,7 +1,8 @@
 """Predicates over nodes: dataclasses, their JSON form, and their compilation to columns.
 
 Logic is two-valued: a missing property makes every comparison false but ``ne``, so each leaf is
-coalesced and negation never meets a null. Typed fields compile to plain columns, which Parquet can push down.
+coalesced and negation never meets a null. As a filter, where null counts as false, times, kinds and documents
+compile to plain comparisons that Parquet takes; a typed field may be shadowed by metadata, so its comparison stays above the scan.
 """
 
 from __future__ import annotations
@@ -72,6 +73,13 @@ class Predicate:
         """Boolean, never null; ``_superseded`` tells whether a live document supersedes the node's document."""
         return _COMPILE[self.type](**self.args)
 
+    def condition(self) -> Column:
+        """The same for a filter: without what keeps nulls out, which scans can't be asked."""
+        if self.type in ("and", "or"):
+            parts = [p.condition() for p in self.args["predicates"]]
+            return reduce(lambda a, b: a & b if self.type == "and" else a | b, parts, F.lit(self.type == "and"))
+        return _CONDITION.get(self.type, lambda **_: self.column())(**self.args)
+
 
 def all_nodes() -> Predicate:
     return Predicate("all")
@@ -201,3 +209,14 @@ _COMPILE = {
     "or": lambda predicates: reduce(lambda a, b: a | b, (p.column() for p in predicates), F.lit(False)),
     "not": lambda predicate: ~predicate.column(),
 }
+
+
+def _at(test) -> Column:
+    return ((F.col("kind") != "PipelineRun") & test(F.col("created_at"))) | ((F.col("kind") == "PipelineRun") & test(F.col("run_at")))
+
+
+_CONDITION = {
+    "created_after": lambda at: _at(lambda c: c > at),
+    "created_before": lambda at: _at(lambda c: c < at),
+    "in_document": lambda id: ((F.col("kind") == "Chunk") & (F.col("document_id") == id)) | ((F.col("kind") == "Document") & (F.col("id") == id)),
+}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import EDGE_CODE, EDGE_TYPES, KINDS
@@ -28,7 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Lineage cut at the session's checkpoint folder; a local one only where none is set."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
@@ -122,7 +126,9 @@ def expand(g: Graph, start: DataFrame, edge_types=(), direction: str = "both", m
 
 def history(g: Graph, node_id: str) -> DataFrame:
     """The version chain of a document, oldest first, from any of its versions; deleted versions end the walk."""
-    return version_chains(g).filter(F.col("chain").isNotNull()).join(version_chains(g).filter(F.col("id") == node_id).select("chain"), "chain", "left_semi").orderBy("position")
+    chains = version_chains(g)
+    mine = chains.filter(F.col("id") == node_id).select("chain").first()
+    return chains.filter(F.col("chain") == (mine.chain if mine else "")).orderBy("position")
 
 
 def version_chains(g: Graph, rounds: int = 40) -> DataFrame:
@@ -164,6 +170,39 @@ def documents(g: Graph, latest_only: bool = True) -> DataFrame:
     return (out.filter("is_latest") if latest_only else out).orderBy(F.desc("created_at"), "id")
 
 
+def documents_matching(g: Graph, part: str) -> DataFrame:
+    """Live documents whose title or uri holds the text, whatever its case."""
+    return g.live("Document").filter(F.lower("title").contains(part.lower()) | F.lower("source_uri").contains(part.lower()))
+
+
+def has_edge(g: Graph, nodes: DataFrame, edge_type: str, direction: str = "out") -> DataFrame:
+    """(id, found): whether each of ``nodes`` (id) has an edge of the type."""
+    end = "src" if direction == "out" else "dst"
+    with_edge = g.edges.filter(F.col("edge_type") == edge_type).select(F.col(end).alias("_end")).distinct().withColumn("_found", F.lit(True))
+    return nodes.select("id").join(with_edge, F.col("id") == F.col("_end"), "left").select("id", F.coalesce("_found", F.lit(False)).alias("found"))
+
+
+def edge(g: Graph, src: str, edge_type: str, dst: str) -> DataFrame:
+    """The one edge of that kind between the nodes, or no row."""
+    return g.edges.filter((F.col("src") == src) & (F.col("edge_type") == edge_type) & (F.col("dst") == dst))
+
+
+def first_writes(edges: DataFrame, order: str, *kept: str) -> DataFrame:
+    """One row for each (src, edge_type, dst): the ``kept`` columns and ``order`` of its first write."""
+    return edges.groupBy("src", "edge_type", "dst").agg(*(F.min_by(c, order).alias(c) for c in kept), F.min(order).alias(order))
+
+
+def following(rows: DataFrame, by: str, order: str, item: str) -> DataFrame:
+    """(by, src, dst): each item and the one after it within its group."""
+    after = F.lead(item).over(Window.partitionBy(by).orderBy(order))
+    return rows.select(by, F.col(item).alias("src"), after.alias("dst")).filter("dst is not null")
+
+
+def counted_page(df: DataFrame, offset: int = 0, limit: int = 50) -> tuple[DataFrame, int]:
+    """A page and how many rows there are before paging."""
+    return page(df, offset, limit), df.count()
+
+
 def page(df: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
     return df.offset(max(offset, 0)).limit(min(max(limit, 1), 1000))
 

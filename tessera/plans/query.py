@@ -140,7 +140,7 @@ class _Run:
 
     def filter(self, cur, base, predicate):
         if not predicate.needs_latest():
-            return cur.filter(predicate.column()), base
+            return cur.filter(predicate.condition()), base
         return self.g.with_superseded(cur).filter(predicate.column()).select(*cur.columns), base
 
     def limit(self, cur, base, n):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import fixture as X
@@ -172,13 +171,13 @@ SELECT id, round(1 - d, 6) AS score, NULL::INT AS hops FROM hit UNION ALL SELECT
 _LIST = "SELECT doc.id, version, (SELECT count(*) FROM chk WHERE document_id = doc.id) AS chunk_count, doc.id NOT IN (SELECT id FROM sup) AS is_latest FROM doc"
 register("docs_with_chunk_counts", " " + _LIST)(lambda s, d: G.documents(X.graph(s, d), False).select("id", "version", "chunk_count", "is_latest"))
 register("docs_page", f" SELECT id, chunk_count FROM ({_LIST}) WHERE is_latest ORDER BY id DESC LIMIT 10 OFFSET 5")(lambda s, d: G.page(G.documents(X.graph(s, d)), 5, 10).select("id", "chunk_count"))
-register("docs_matching", " SELECT id FROM doc WHERE contains(lower(uri), 'src1')")(lambda s, d: X.graph(s, d).live("Document").filter(F.lower("title").contains("src1") | F.lower("source_uri").contains("src1")).select("id"))
+register("docs_matching", " SELECT id FROM doc WHERE contains(lower(uri), 'src1')")(lambda s, d: G.documents_matching(X.graph(s, d), "SRC1").select("id"))
 register("chunks_of", " SELECT id, chunk_index FROM chk WHERE document_id = 'doc:0000000950'")(lambda s, d: G.chunks_of(X.graph(s, d), "doc:0000000950").select("id", "chunk_index"))
 register("stats", " SELECT 'nodes' AS metric, kind AS name, count(*) AS value FROM node GROUP BY kind UNION ALL SELECT 'latest_documents', '', count(*) FROM doc WHERE id NOT IN (SELECT id FROM sup) UNION ALL SELECT 'edges', t, count(*) FROM edg GROUP BY t UNION ALL SELECT 'deleted', '', 0 UNION ALL SELECT 'vectors', 'fixture:64', count(*) FROM chk")(lambda s, d: G.stats(X.graph(s, d)))
 register("provenance", " SELECT id, 'run:0' AS run_id FROM node WHERE kind <> 'PipelineRun'")(lambda s, d: G.provenance(X.graph(s, d)))
-register("edge_exists", " SELECT id, id IN (SELECT src FROM edg WHERE t = 'PRECEDES') AS has_next FROM chk")(lambda s, d: (lambda g: g.live("Chunk").select("id").join(g.edges.filter("edge_type = 'PRECEDES'").select(F.col("src").alias("id"), F.lit(True).alias("y")).distinct(), "id", "left").select("id", F.coalesce("y", F.lit(False)).alias("has_next")))(X.graph(s, d)))
+register("edge_exists", " SELECT id, id IN (SELECT src FROM edg WHERE t = 'PRECEDES') AS has_next FROM chk")(lambda s, d: (lambda g: G.has_edge(g, g.live("Chunk"), "PRECEDES").withColumnRenamed("found", "has_next"))(X.graph(s, d)))
 register("export_lines", " SELECT 0 AS rank, 1 AS n UNION ALL SELECT 1, count(*) FROM node UNION ALL SELECT 2, count(*) FROM edg UNION ALL SELECT 3, count(*) FROM chk")(lambda s, d: G.export_lines(X.graph(s, d)).groupBy("rank").agg(F.count(F.lit(1)).alias("n")))
-register("edge_first_write_wins", " SELECT src, t AS edge_type, dst, 'first' AS note FROM edg")(lambda s, d: (lambda e: e.withColumn("note", F.lit("first")).withColumn("n", F.lit(0)).unionByName(e.withColumn("note", F.lit("later")).withColumn("n", F.lit(1))).groupBy("src", "edge_type", "dst").agg(F.min_by("note", "n").alias("note")))(X.graph(s, d).edges.select("src", "edge_type", "dst")))
+register("edge_first_write_wins", " SELECT src, t AS edge_type, dst, 'first' AS note FROM edg")(lambda s, d: (lambda e: G.first_writes(e.withColumn("note", F.lit("first")).withColumn("n", F.lit(0)).unionByName(e.withColumn("note", F.lit("later")).withColumn("n", F.lit(1))), "n", "note").drop("n"))(X.graph(s, d).edges.select("src", "edge_type", "dst")))
 
 # ---- text ------------------------------------------------------------------------------------------------
 _DOC = lambda s, d: X.table(s, d, "documents").select("doc_id", "text")
@@ -190,7 +189,7 @@ register("normal_names", r"SELECT p_partkey, regexp_replace(trim(regexp_replace(
 register("chunk_recursive")(lambda s, d: _DOC(s, d).select("doc_id", F.posexplode(udfs.chunks(F.col("text"), Chunker.parse("recursive:500:50"))).alias("chunk_index", "piece")))
 register("chunk_sentence")(lambda s, d: _DOC(s, d).select("doc_id", F.posexplode(udfs.chunks(F.col("text"), Chunker.parse("sentence:500:1"))).alias("chunk_index", "piece")))
 register("html_text")(lambda s, d: X.table(s, d, "pages").select("page_id", udfs.html_text(F.col("html")).alias("text")))
-register("titles")(lambda s, d: _DOC(s, d).select("doc_id", udfs.title(F.col("text"), F.col("doc_id").cast("string")).alias("title")))
+register("titles", r"SELECT doc_id, coalesce(nullif(trim(list_filter(list_transform(string_split(text, chr(10))[:20], lambda x: trim(x, ' ')), lambda x: starts_with(x, '# '))[1][3:], ' '), ''), doc_id::VARCHAR) AS title FROM documents", fixture=False)(lambda s, d: _DOC(s, d).select("doc_id", udfs.title(F.col("text"), F.col("doc_id").cast("string")).alias("title")))
 register("hash_embedding")(lambda s, d: X.table(s, d, "benchmark").select("item_id", udfs.embedding(F.col("text"), 64).alias("embedding")))
 
 
@@ -203,7 +202,7 @@ register("entities")(lambda s, d: _found(s, d).select("id", "name", "norm", "ent
 register("entity_totals")(lambda s, d: I.entity_totals(_found(s, d)))
 register("aliases")(lambda s, d: I.aliases(_found(s, d)))
 register("cooccurrence_pairs", """, m AS (SELECT DISTINCT document_id AS id, label FROM chk) SELECT 'e' || a.label AS a, 'e' || b.label AS b, count(*) AS n FROM m a JOIN m b USING (id) WHERE 'e' || a.label < 'e' || b.label GROUP BY ALL""")(lambda s, d: I.cooccurrences(X.graph(s, d).edges.filter("edge_type = 'MENTIONS'").join(X.graph(s, d).live("Chunk").select(F.col("id").alias("src"), "document_id"), "src").select(F.col("document_id").alias("id"), F.concat(F.lit("e"), F.substring("dst", 5, 10).cast("int").cast("string")).alias("entity"))))
-register("precedes_follows", """, w AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) SELECT conv_id, turn AS src, nx AS dst FROM w WHERE nx IS NOT NULL""")(lambda s, d: X.table(s, d, "conversations").withColumn("dst", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("dst is not null").select("conv_id", F.col("turn").alias("src"), "dst"))
+register("precedes_follows", """, w AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) SELECT conv_id, turn AS src, nx AS dst FROM w WHERE nx IS NOT NULL""")(lambda s, d: G.following(X.table(s, d, "conversations"), "conv_id", "turn", "turn"))
 
 
 @register("projection_pca")
