@@ -9,18 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import Scratch, fresh
 from .suffix import _gram_hashes
 
 
 @dataclass(frozen=True)
 class LeakConfig:
     """An item of n bytes leaks where a stretch of the document is within ``rate * n`` edits of it
-    (fewer for items so short that ``q``-grams couldn't tell). ``block_bytes``: benchmark text sent out at once."""
+    (fewer for items so short that ``q``-grams couldn't tell). ``block_bytes``: benchmark text sent out at once.
+    ``slice_bytes`` of a text are hashed, and ``hits`` of its grams in items counted, at a time, to the same result."""
 
     q: int = 10
     rate: float = 0.06
     block_bytes: int = 8 << 20
+    slice_bytes: int = 4 << 20
+    hits: int = 1 << 19
 
 
 def normalise(text: str | None) -> bytes:
@@ -83,6 +86,30 @@ class Finder:
     def _slot(self, h):
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _bands(self, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the (item, band) pairs with hits, and how many each has."""
+        codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in range(0, len(b) - self.cfg.q + 1, self.cfg.slice_bytes):
+            h = _gram_hashes(np.frombuffer(b, np.uint8)[s : s + self.cfg.slice_bytes + self.cfg.q - 1], self.cfg.q)
+            at = np.flatnonzero(self.seen[self._slot(h)])
+            g = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
+            hit = self.grams[g] == h[at]
+            at, g = at[hit], g[hit]
+            cut = np.cumsum(self.count[g]) // self.cfg.hits
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(cut)) + 1):
+                if not len(part):
+                    continue
+                times = self.count[g[part]]
+                i = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[g[part]], times)
+                owner, diag = self.owner[i], np.repeat(at[part] + s, times) - self.pos[i]
+                # an item's hits lie on diagonals no further apart than its edits: in one of two overlapping bands
+                band = diag // self.width[owner] + (1 << 20)
+                code, n = np.unique(np.concatenate([owner << 42 | band, owner << 42 | (band - 1)]), return_counts=True)
+                codes.append(code)
+                counts.append(n)
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return code, np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+
     def find(self, text: str | None) -> dict[int, int]:
         """item_id -> least edits found, for the items that leak into the text."""
         b, found = normalise(text), {}
@@ -91,21 +118,7 @@ class Finder:
                 found[self.items[k][0]] = 0
         if len(b) < self.cfg.q or not len(self.grams):
             return found
-        a = np.frombuffer(b, np.uint8)
-        h = _gram_hashes(a, self.cfg.q)
-        at = np.flatnonzero(self.seen[self._slot(h)])
-        g = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
-        hit = self.grams[g] == h[at]
-        at, g = at[hit], g[hit]
-        if not len(at):
-            return found
-        times = self.count[g]
-        i = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[g], times)
-        owner, diag = self.owner[i], np.repeat(at, times) - self.pos[i]
-        # an item's hits lie on diagonals no further apart than its edits: in one of two overlapping bands
-        band = diag // self.width[owner] + (1 << 20)
-        code = np.concatenate([owner << 42 | band, owner << 42 | (band - 1)])
-        code, n = np.unique(code, return_counts=True)
+        code, n = self._bands(b)
         for c in code[n >= self.least[code >> 42]].tolist():
             k = c >> 42
             item, limit, w = self.items[k][1], int(self.edits[k]), int(self.width[k])
@@ -145,11 +158,11 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = Lea
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // cfg.block_bytes)) if total > cfg.block_bytes else 1
-    schema, out = "doc_id long, text_hash long, items array<long>, edits long", None
+    schema, out, tmp = "doc_id long, text_hash long, items array<long>, edits long", None, Scratch(docs.sparkSession, "leaks")
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        some = [(r[0], normalise(r[1])) for r in part.toLocalIterator()]
-        found = texts.mapInArrow(_search(some, cfg), schema)
+        found = texts.mapInArrow(_search([(r[0], normalise(r[1])) for r in part.toLocalIterator()], cfg), schema)
+        found = found if blocks == 1 else tmp.save(found, f"block-{k}")  # the driver holds one block at a time
         out = found if out is None else out.unionByName(found)
     if blocks > 1:  # rows alike in id and text have alike results: one for each comes from every block
         n = F.count(F.lit(1)) / blocks
@@ -159,6 +172,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = Lea
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no benchmark item."""
-    bad = benchmark_leaks(docs, benchmark, cfg).filter("leaked").select(F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.xxhash64(F.col("text").cast("string")) == F.col("_hash"), "left_anti")
+    """The rows of ``docs``, with all their columns, whose text holds no benchmark item. Other columns, whatever their names, pass unchanged."""
+    (th,) = fresh(docs.columns, "leak_hash")
+    bad = benchmark_leaks(docs, benchmark, cfg).filter("leaked").select(F.col("text_hash").alias(th)).distinct()
+    return docs.join(bad, F.xxhash64(F.col("text").cast("string")) == F.col(th), "left_anti")

@@ -47,7 +47,7 @@ def test_equals_full_alignment(spark):
     bench = spark.createDataFrame([(i, t, 1) for i, t in items.items()] + [(None, "abc", 1)], "item_id long, text string, doc_id int")
     cfg = D.LeakConfig()
     want = expected(docs, items, cfg)
-    for c in (cfg, D.LeakConfig(block_bytes=900)):
+    for c in (cfg, D.LeakConfig(block_bytes=900), D.LeakConfig(slice_bytes=37, hits=5)):
         got = {x.doc_id: (x.items, x.leaked) for x in D.benchmark_leaks(df, bench, c).collect()}
         assert {d: v[0] for d, v in got.items()} == want and all(v[1] == bool(v[0]) for v in got.values())
     kept = {x.doc_id for x in D.drop_leaks(df, bench).collect()}
@@ -63,3 +63,24 @@ def test_query_finds_verbatim_items(spark):
     assert set(got) == set(docs)
     for d, b in docs.items():
         assert {i for i, x in items.items() if x and x in b} <= set(got[d])
+
+
+def test_runs_of_one_byte_need_little_memory():
+    import tracemalloc
+
+    finder = D.Finder([(1, b"x" * 200), (2, b"y" * 199 + b"z")], D.LeakConfig())
+    tracemalloc.start()
+    assert finder.find("x" * 300_000) == {1: 0}
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_repeats_over_several_blocks_and_clashing_names(spark):
+    items = {i: f"item number {i} holds some words of its own that no other has, {i * 7919}" for i in range(6)}
+    docs = [(1, "so " + items[2] + " so", 5), (1, "so " + items[2] + " so", 5), (2, "clean words only", 6), (None, items[4], 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, leak_hash int")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.items) for r in D.benchmark_leaks(df, bench, D.LeakConfig(block_bytes=100)).collect())
+    assert got == [(0, [4]), (1, [2]), (1, [2]), (2, [])]
+    left = D.drop_leaks(df, bench)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(2, "clean words only", 6)]
