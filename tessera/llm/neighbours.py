@@ -18,7 +18,8 @@ from .common import Scratch
 class TreeConfig:
     """The tree is fitted on ``sample`` vectors at most (least hashes of the id first), split ``branch`` ways down to
     ``leaf`` of them; every vector is indexed. ``recall`` is reached on ``probes`` queries that are compared with all
-    vectors. ``block``: vectors, and queries, of a leaf that meet in one task at a time."""
+    vectors. ``block`` vectors of a leaf and ``queries`` of those that visit it meet in one task at a time: a vector is copied only for each
+    such part of its own leaf's queries."""
 
     k: int = 20
     every: int = 20
@@ -29,6 +30,7 @@ class TreeConfig:
     probes: int = 64
     recall: float = 0.97
     block: int = 4096
+    queries: int = 16_384
     seed: int = 5
 
 
@@ -226,12 +228,12 @@ def nearest(vectors: DataFrame, cfg: TreeConfig = TreeConfig()) -> DataFrame:
                         vec.append(raw)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(leaf, pa.int32()), pa.array(block, pa.int32()), pa.array(vec, pa.binary())], ["query_id", "leaf", "block", "vec"])
 
-    total = queries.count()
-    groups = max(1, -(-total * visits // max(1, tree.leaves) // cfg.block))  # of queries, so that a task's share is bounded
-    part = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
-    routed = queries.select("vec_id", "vec").mapInArrow(route, "query_id long, leaf int, block int, vec binary").withColumn("part", part)
-    split = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in blocks]), F.col("leaf") + 1)
-    dealt = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), split).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    routed = tmp.save(queries.select("vec_id", "vec").mapInArrow(route, "query_id long, leaf int, block int, vec binary"), "routed")
+    visitors = {r[0]: r[1] for r in routed.filter("block = 0").groupBy("leaf").count().collect()}
+    of_leaf = lambda n: F.element_at(F.array(*(F.lit(int(max(1, x))) for x in n)), F.col("leaf") + 1)
+    parts = of_leaf([-(-visitors.get(i, 0) // cfg.queries) for i in range(tree.leaves)])
+    routed = routed.withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int"))
+    dealt = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_leaf(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     key = ["leaf", "block", "part"]
     pairs = dealt.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(_pairs(cfg.k), "query_id long, vec_id long, score double")
     out = _best(pairs, cfg.k)

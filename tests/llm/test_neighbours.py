@@ -45,10 +45,16 @@ def test_blocks_of_a_hot_leaf_give_the_same(spark):
     r = np.random.default_rng(1)
     rows = [(i, r.normal(size=4).round(1).tolist()) for i in range(300)] + [(1000 + i, [1.0, 1.0, 0.0, 0.0]) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    a, b = (N.nearest(df, N.TreeConfig(k=5, leaf=50, recall=1.0, block=n)).collect() for n in (16, 4096))
+    a, b = (N.nearest(df, N.TreeConfig(k=5, leaf=50, recall=1.0, block=n, queries=m)).collect() for n, m in ((16, 2), (4096, 16_384)))
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_repeated_ids_and_odd_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [9.0, 9.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0]), (4, [0.2, 0.1])]
+    got = {r.vec_id: r.score for r in N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 0.5, 4: 0.2}
+
+
 def test_small_leaves_still_give_all_ranks(spark):
     r = np.random.default_rng(2)
     rows = [(i, (r.normal(0, 1, 8)).tolist()) for i in range(300)]
