@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class CNNConfig:
     """``sample`` bounds the labelled documents that are learned from (least hashes of doc_id first), ``per_doc``
-    the windows of each. A text is judged by all its windows of ``window`` bytes, the last one padded."""
+    the windows of each text, and their product all windows, where a doc_id comes with many texts. A text is judged by all its windows of ``window`` bytes, the last one padded."""
 
     window: int = 256
     embed: int = 8
@@ -141,8 +141,9 @@ def fit(docs: DataFrame, cfg: CNNConfig = CNNConfig(), learn=None) -> ByteCNN:
     if learn is not None:
         rows = rows.filter(learn)
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample)
-    t = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").mapInArrow(_sampled(cfg), "doc_id long, lang string, win binary").toPandas()
-    t = t.sort_values(["doc_id", "win"], kind="stable")
+    t = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").mapInArrow(_sampled(cfg), "doc_id long, lang string, win binary")
+    t = t.orderBy(F.xxhash64("doc_id"), "doc_id", "win", "lang").limit(cfg.sample * cfg.per_doc).toPandas()
+    t = t.sort_values(["doc_id", "win", "lang"], kind="stable")
     langs = sorted(t.lang.unique())
     x = np.frombuffer(b"".join(t.win), np.uint8).reshape(-1, cfg.window)
     return train(x, np.searchsorted(langs, t.lang.to_numpy(str)) if langs else np.zeros(0, int), langs, cfg)

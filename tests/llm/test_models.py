@@ -104,6 +104,37 @@ def test_language_edges(spark):
     assert language.predict_language(df.limit(0), net).count() == 0
 
 
+def test_language_equals_plain_convolution(spark):
+    """Each window by loops over its places and filters; the text's score is the mean by bytes."""
+    rows = [(i, ("the cat and the dog ran " if i % 2 else "der Hund und die Katze lief ") * (1 + i), "en" if i % 2 else "de") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.fit(df, language.CNNConfig(window=64, filters=3, embed=4, epochs=2))
+
+    def window(w):
+        tops = []
+        for c, b in zip(net.conv, net.conv_b, strict=True):
+            for f in range(c.shape[2]):
+                tops.append(max(0.0, b[f] + max(sum(float(net.emb[w[p + j]] @ c[j, :, f]) for j in range(len(c))) for p in range(len(w) - len(c) + 1))))
+        z = np.array(tops) @ net.out + net.out_b
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict_language(df, net).collect()}
+    for i, text, _ in rows[:8]:
+        ws = language.windows(text, 64)
+        p = sum(window(w) * (w != 0).sum() for w in ws) / (ws != 0).sum()
+        assert got[i][0] == net.langs[int(p.argmax())] and abs(got[i][1] - p.max()) < 1e-4
+
+
+def test_fits_are_bounded_by_rows(spark):
+    """One labelled doc_id with many texts doesn't fill the learning task beyond the documented bounds."""
+    many = spark.range(500).selectExpr("id % 2 as doc_id", "concat('some words ', id) as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(many, labels, toxicity.FMConfig(positives=20, negatives=20, held=100))
+    assert toxicity.score_toxicity(many, model).count() == 500
+    assert set(language.fit(many, language.CNNConfig(sample=2, per_doc=2, epochs=1)).langs) <= {"de", "en"}
+
+
 def test_windows_hold_the_whole_text():
     text = "é" * 1000
     w = language.windows(text, 256)
