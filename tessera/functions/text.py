@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -268,6 +269,12 @@ def find_aliases(rows: list[tuple[str, str, str, int]], threshold: float = 0.92,
     return out
 
 
+@lru_cache(1 << 16)
+def _slots(term: str) -> tuple[int, int]:
+    h = fnv1a(term.encode())
+    return h, fnv1a(h.to_bytes(8, "little"))
+
+
 def fnv1a(data: bytes) -> int:
     h = 0xCBF29CE484222325
     for byte in data:
@@ -281,8 +288,7 @@ def hash_embedding(text: str | None, dim: int = 256) -> list[float]:
     words = re.findall(r"[^\W_]+", text or "")
     words = [w.lower() for w in words]
     for term, weight in [*((w, 1.0) for w in words), *((f"{x} {y}", 0.5) for x, y in zip(words, words[1:], strict=False))]:
-        h = fnv1a(term.encode())
-        for code, share in ((h, 1.0), (fnv1a(h.to_bytes(8, "little")), 0.5)):
+        for code, share in zip(_slots(term), (1.0, 0.5), strict=True):
             v[code % dim] += weight * share * (-1 if code >> 32 & 1 else 1)
     norm = float(np.sqrt((v * v).sum()))
     return (v / norm if norm > 1.1920929e-7 else v).tolist()
@@ -293,10 +299,11 @@ def lcs_diff(old: list[str], new: list[str], most: int = 2000) -> list[tuple[str
     if len(old) > most or len(new) > most:
         return [("removed", x) for x in old] + [("added", x) for x in new]
     n, m = len(old), len(new)
+    code: dict[str, int] = {}
+    a, b = (np.array([code.setdefault(x, len(code)) for x in side], np.int64) for side in (old, new))
     t = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            t[i, j] = t[i + 1, j + 1] + 1 if old[i] == new[j] else max(t[i + 1, j], t[i, j + 1])
+    for i in range(n - 1, -1, -1):  # a row at a time: the best so far, from its end
+        t[i, :m] = np.maximum.accumulate(np.where(b == a[i], t[i + 1, 1:] + 1, t[i + 1, :-1])[::-1])[::-1]
     out, i, j = [], 0, 0
     while i < n and j < m:
         if old[i] == new[j]:

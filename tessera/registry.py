@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import fixture as X
 from .functions import predicates as P
 from .functions import udfs
+from .functions.providers import hashing, rule_extractor
 from .functions.text import Chunker
 from .operators import graph as G
 from .operators import ingest as I
@@ -190,11 +191,12 @@ register("chunk_recursive")(lambda s, d: _DOC(s, d).select("doc_id", F.posexplod
 register("chunk_sentence")(lambda s, d: _DOC(s, d).select("doc_id", F.posexplode(udfs.chunks(F.col("text"), Chunker.parse("sentence:500:1"))).alias("chunk_index", "piece")))
 register("html_text")(lambda s, d: X.table(s, d, "pages").select("page_id", udfs.html_text(F.col("html")).alias("text")))
 register("titles", r"SELECT doc_id, coalesce(nullif(trim(list_filter(list_transform(string_split(text, chr(10))[:20], lambda x: trim(x, ' ')), lambda x: starts_with(x, '# '))[1][3:], ' '), ''), doc_id::VARCHAR) AS title FROM documents", fixture=False)(lambda s, d: _DOC(s, d).select("doc_id", udfs.title(F.col("text"), F.col("doc_id").cast("string")).alias("title")))
-register("hash_embedding")(lambda s, d: X.table(s, d, "benchmark").select("item_id", udfs.embedding(F.col("text"), 64).alias("embedding")))
+register("hash_embedding")(lambda s, d: _DOC(s, d).select("doc_id", hashing(64).column(F.col("text")).alias("embedding")))
 
 
 def _found(spark, sf_dir):
-    e = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("item_id").cast("string").alias("document_id"), F.explode(udfs.entities(F.col("text"))).alias("e"))
+    key = F.col("doc_id").cast("string")
+    e = _DOC(spark, sf_dir).select(key.alias("id"), key.alias("document_id"), F.explode(rule_extractor().column(F.col("text"))).alias("e"))
     return e.select("id", "document_id", "e.*").withColumn("entity", F.concat_ws("|", "norm", "entity_type"))
 
 
@@ -223,7 +225,7 @@ def chunk_diff(spark, sf_dir):
 
 @register("ingest_report")
 def ingest_report(spark, sf_dir):
-    src = X.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("mem:///"), (F.col("item_id") % 10).cast("string")).alias("source_uri"), F.col("item_id").cast("string").alias("title"), "text", F.lit(None).cast("string").alias("skipped"))
+    src = X.table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("mem://"), "source", "lang").alias("source_uri"), F.format_string("%010d", "doc_id").alias("title"), "text", F.lit(None).cast("string").alias("skipped"))
     none = spark.createDataFrame([], "node_id string, lsn long")
     empty = G.Graph(spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in G.NODE_FIELDS.items())), spark.createDataFrame([], f"seq long, src string, edge_type string, dst string, created_at long, properties map<string,{G.PV}>"), spark.createDataFrame([], "namespace string, node_id string, vector array<float>, seq long"), none)
-    return I.ingest(empty, src, I.IngestConfig(chunker="fixed:100:10", dim=64), now=0).report.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("chunks"))
+    return I.ingest(empty, src, I.IngestConfig(chunker="fixed:400:50", dim=64, extractor="none"), now=0).report.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("chunks"))
