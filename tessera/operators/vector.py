@@ -66,13 +66,22 @@ def namespaces(vectors: DataFrame) -> DataFrame:
 
 
 def resolve_namespace(vectors: DataFrame, model: str | None) -> tuple[str, int]:
-    """An exact name, else the only namespace of that model; without one, the only namespace. The catalog is one row a namespace."""
-    known = {r.namespace: r.dim for r in namespaces(vectors).collect()}
+    """An exact name, else the only namespace of that model; without one, the only namespace.
+
+    A name ends in its dimension, so an exact one needs no look at the table, and others only at its names: one row a namespace.
+    """
+    def dim(name: str) -> int:
+        size = name.rpartition(":")[2]
+        return int(size) if size.isdigit() else vectors.filter(F.col("namespace") == name).select(F.size("vector").alias("d")).first().d
+
+    if model and model.rpartition(":")[2].isdigit() and vectors.filter(F.col("namespace") == model).select("namespace").take(1):
+        return model, dim(model)
+    known = [r.namespace for r in vectors.select("namespace").distinct().collect()]
     if model in known:
-        return model, known[model]
+        return model, dim(model)
     fit = [n for n in known if model is None or n.rpartition(":")[0] == model]
     if len(fit) == 1:
-        return fit[0], known[fit[0]]
+        return fit[0], dim(fit[0])
     if model is None and not known:
         raise LookupError("there are no embeddings yet")
     raise LookupError(f"specify one of the embedding models {sorted(fit)}" if fit else f"unknown embedding model: {model!r}")
