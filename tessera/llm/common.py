@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -13,10 +16,12 @@ _LOCAL_DIR: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only where all runs in one process (tests)."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="tessera-"))
     return f"file://{_LOCAL_DIR[0]}"
@@ -44,7 +49,9 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
+        gc.collect()  # frames that Python still holds keep their shuffle files
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
@@ -84,50 +91,104 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", ma
     return cur.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
-def link_groups(cells: DataFrame, verify, scratch: Scratch, traits: DataFrame, may=None, early: tuple[str, ...] = (), pivots: int = 2) -> DataFrame:
-    """Components (node, label) of the links among keys that share a cell of ``cells`` (cell, h).
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as set it apart from ``columns`` (whose case doesn't count)."""
+    used, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def link_groups(cells: DataFrame, verify, scratch: Scratch, traits: DataFrame, may, early: tuple[str, ...] = (), need: int = 1, pivots: int = 6, large: int = 256) -> DataFrame:
+    """Components (node, label) of the links among keys that share ``need`` cells of ``cells`` (cell, h) at least, or, if that is 2, one cell of an odd number.
 
     ``traits`` (key, h, ...) names the keys behind a 64-bit ``h``, so that the many cells that
-    hold one key move as two longs; ``may(a, b)`` is a condition on two keys' traits, by prefix, that links meet.
-    If it needs only the few traits named ``early``, these travel with the cells and pairs are pruned where they arise.
-
-    ``verify`` takes pairs (a, b), a < b, and returns those that are links. Each key is verified against
-    its cell's least and greatest key, which settles cells of up to three keys and joins most groups, and with the
-    ``pivots`` - 2 keys of least hashes, which joins groups without a centre; of cells whose keys
-    still lie in several components, the pairs across components follow. No link is lost, and
-    a group of alike keys costs two pairs a key. Nodes without any link are not returned.
+    hold one key move as two longs; a key is in a cell once. ``may(a, b)`` is a condition on two keys' traits, by prefix, that links meet.
+    The traits named ``early`` travel with the cells; if they are all that ``may`` needs, pairs are pruned where they arise.
+    ``verify`` takes pairs (a, b), a < b, and returns those that are links. A key has a bounded number of cells.
+
+    First each key is verified against its cell's least and greatest key, then, in cells whose keys lie in several
+    components, against ``pivots`` keys of least hashes that lie in another one; what is still apart meets pair by pair. A cell of
+    more than ``large`` keys takes part in that as its pairs with the keys' other cells, so only keys
+    that share two cells meet there. Apart from that no link is lost, and a group of alike keys costs
+    a bounded number of pairs a key. Nodes without any link are not returned.
     """
-    shared = cells.groupBy("cell").agg(F.max("cell").alias("_c"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("cell")
-    live = scratch.save(cells.join(shared, F.col("cell") == F.col("_c")).join(traits.select("h", "key", *early), "h").select("cell", "n", "key", *early), "live")
+    shared = cells.groupBy("cell").agg(F.max("cell").alias("_c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("_c")
+    live = scratch.save(cells.join(shared, F.col("cell") == F.col("_c")).join(traits.select("h", "key", *early), "h").select("cell", "key", *early), "live")
     scratch.release()
+    ahead = may if early else None
+    weight = 1 + F.col("cell").bitwiseAND(F.lit(1))
+
+    def against(rows: DataFrame, chosen: dict, carried: tuple[str, ...]) -> DataFrame:
+        """(a, b) of each key and its cell's chosen ones that share enough cells."""
+        picked = rows.groupBy("cell").agg(F.max("cell").alias("_c"), *(v.alias(k) for k, v in chosen.items())).drop("cell")
+        met = rows.join(picked, F.col("cell") == F.col("_c")).select(weight.alias("w"), *(F.col(c).alias(f"a_{c}") for c in carried), F.explode(F.array_distinct(F.array(*chosen))).alias("p"))
+        met = met.select("*", *(F.col(f"p.{c}").alias(f"b_{c}") for c in carried)).filter("a_key <> b_key")
+        if "label" in carried:
+            met = met.filter("a_label <> b_label")
+        if ahead:
+            met = met.filter(ahead("a", "b"))
+        met = met.select("w", F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+        return met.drop("w").distinct() if need == 1 else met.groupBy("a", "b").agg(F.sum("w").alias("w")).filter(F.col("w") >= need).drop("w")
+
+    def apart(comp: DataFrame, more: tuple[str, ...]) -> DataFrame:
+        """The rows of the cells whose keys lie in several components, with their labels and traits."""
+        placed = traits.select("key", *more).join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        rows = live.select("cell", "key").join(placed, "key")
+        mixed = rows.groupBy("cell").agg(F.max("cell").alias("_c"), F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("cell_n")).filter("x <> y").select("_c", "cell_n")
+        return rows.join(mixed, F.col("cell") == F.col("_c")).select("cell", "cell_n", "key", "label", *more)
+
+    def joined(comp: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+        known = comp.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        return scratch.save(connected_components(known.unionByName(links), scratch, tag), tag)
+
     member = F.struct("key", *early)
-    more = [F.min(F.struct(F.xxhash64(F.lit(j), "key"), member.alias("m"))).alias(f"p{j}") for j in range(pivots - 2)]
-    ends = live.groupBy("cell").agg(F.max("cell").alias("_c"), F.min(member).alias("lo"), F.max(member).alias("hi"), *more).drop("cell")
-    starred = live.join(ends, F.col("cell") == F.col("_c")).select(F.col("key").alias("a_key"), *(F.col(c).alias(f"a_{c}") for c in early), F.explode(F.array_distinct(F.array("lo", "hi", *(f"p{j}.m" for j in range(pivots - 2))))).alias("pivot"))
-    starred = starred.select("*", *(F.col(f"pivot.{c}").alias(f"b_{c}") for c in ("key", *early))).filter("a_key <> b_key")
-    if early:
-        starred = starred.filter(may("a", "b"))
-    pairs = scratch.save(starred.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct(), "pairs")
-    edges = scratch.save(verify(pairs), "edges")
-    scratch.release()
+    seen = scratch.save(against(live, {"lo": F.min(member), "hi": F.max(member)}, ("key", *early)), "pairs-0")
+    edges = scratch.save(verify(seen), "edges")
     comp = scratch.save(connected_components(edges, scratch, "first"), "first")
+    scratch.release()
 
-    placed = traits.drop("h").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    large = live.filter("n > 3").select("cell", "key").join(placed, "key")
-    mixed = large.groupBy("cell").agg(F.max("cell").alias("_c"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("_c")
-    still = scratch.save(large.join(mixed, F.col("cell") == F.col("_c"), "left_semi"), "still")
-    left, right = (still.select("cell", *(F.col(c).alias(f"{p}_{c}") for c in still.columns if c != "cell")).withColumnRenamed("cell", f"{p}_cell") for p in "ab")
-    meet = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_key") < F.col("b_key")) & (F.col("a_label") != F.col("b_label"))
-    cross = left.join(right, meet & may("a", "b") if may else meet).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
-    cross = scratch.save(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
-    if not cross.take(1):
+    still = scratch.save(apart(comp, early), "still-0")
+    scratch.release()
+    if not still.take(1):
         return comp
-    more = scratch.save(verify(cross), "more")
+    some = {f"p{j}": F.min(F.struct(F.xxhash64(F.lit(j), "key").alias("by"), F.struct("key", "label", *early).alias("m"))).getField("m") for j in range(pivots)}
+    pairs = scratch.save(against(still, some, ("key", "label", *early)).join(seen, ["a", "b"], "left_anti"), "pairs-1")
+    if pairs.take(1):
+        links = scratch.save(verify(pairs), "links-0")
+        comp, seen = joined(comp, links, "second"), seen.unionByName(pairs)
+        scratch.release()
+
+    kept = tuple(c for c in traits.columns if c not in ("key", "h"))
+    last = scratch.save(apart(comp, kept), "still-1")
+    scratch.drop("live")
+    scratch.drop("still-0")
     scratch.release()
-    if not more.take(1):
+    if not last.take(1):
         return comp
-    known = comp.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return scratch.save(connected_components(known.unionByName(more), scratch, "last"), "last")
+    own = last.groupBy("key").agg(F.sort_array(F.collect_set("cell")).alias("own"), F.collect_set(F.when(F.col("cell_n") > large, F.col("cell"))).alias("wide"), F.collect_set(F.when(F.col("cell").bitwiseAND(F.lit(1)) == 1, F.col("cell"))).alias("odd"))
+    rows = last.join(own.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).drop("_k")
+    narrow = rows.filter(F.col("cell_n") <= large).withColumn("meet", F.col("cell"))
+    twos = F.expr("array_distinct(flatten(transform(wide, x -> transform(array_except(own, array(x)), y -> xxhash64(least(x, y), greatest(x, y))))))")
+    wide = rows.filter(F.size("wide") > 0).filter(F.col("cell") == F.col("wide")[0]).select("*", F.explode(twos).alias("meet"))
+    rows = narrow.unionByName(wide).drop("cell")
+    left, right = (rows.select(*(F.col(c).alias(f"{p}_{c}") for c in rows.columns)) for p in "ab")
+    both = F.array_intersect("a_own", "b_own")
+    # not again in each cell that they share: in the first, or, if that is a large one, in its pair with the second
+    first_two = F.array_contains("a_wide", both[0]) & (F.col("a_meet") == F.xxhash64(both[0], F.get(both, F.lit(1))))
+    enough = (F.size(both) >= need) | F.arrays_overlap("a_odd", "b_odd") if need > 1 else F.size(both) >= 1
+    once = enough & ((F.col("a_meet") == both[0]) | first_two)
+    meet = (F.col("a_meet") == F.col("b_meet")) & (F.col("a_key") < F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & may("a", "b") & once
+    cross = left.join(right, meet).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
+    cross = scratch.save(cross.join(seen, ["a", "b"], "left_anti"), "cross")
+    if not cross.take(1):
+        return comp
+    links = scratch.save(verify(cross), "links-1")
+    scratch.release()
+    return joined(comp, links, "last") if links.take(1) else comp
 
 
 _MASK = (1 << 64) - 1

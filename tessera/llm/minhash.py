@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, Scratch, link_groups, mix64
+from .common import Hasher, Scratch, fresh, link_groups, mix64
 
 
 @dataclass(frozen=True)
@@ -176,12 +176,13 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
 def drop_near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns: one document of each group.
 
-    Of rows that repeat both doc_id and text one stays; rows without doc_id stay.
+    Of rows that repeat both doc_id and text one stays; rows without doc_id stay. Other columns, whatever their names, pass unchanged.
     """
-    kept = near_duplicates(docs, cfg).filter("kept and doc_id is not null")
-    rows = kept.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    found = docs.join(rows, same)
-    once = found.filter("_n = 1").select(*docs.columns)
-    again = found.filter("_n > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()))
+    tmp = Scratch(docs.sparkSession, "minhash-kept")
+    doc, th, n = fresh(docs.columns, "kept_doc", "kept_hash", "kept_rows")
+    kept = near_duplicates(docs, cfg).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(th)).agg(F.count(F.lit(1)).alias(n))
+    kept = tmp.save(kept, "kept")  # read more than once
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(th))
+    out = docs.join(kept.filter(F.col(n) == 1), same, "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    again = kept.filter(F.col(n) > 1)
+    return out.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])) if again.take(1) else out

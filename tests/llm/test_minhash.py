@@ -102,3 +102,27 @@ def test_components(spark, edges):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_large_cells_of_several_components(spark, monkeypatch):
+    """Copies of one text, alike in part only: few pivots, and cells that count as large, lose no link."""
+    import functools
+    import random
+
+    r, texts = random.Random(3), {}
+    for i in range(120):
+        words = [f"w{j}" for j in range(100)]
+        for _ in range(r.randint(1, 3)):
+            words[r.randrange(100)] = f"v{r.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    want = components(texts, 3, 85, 100)
+    assert 1 < len({v[1] for v in want.values()}) < 120
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(M, "link_groups", functools.partial(M.link_groups, large=4, pivots=1))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in M.near_duplicates(df, CFG).collect()} == want
+
+
+def test_columns_with_clashing_names_pass(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7), (1, "a b c d e f", 5, 6, 7), (2, None, 1, 2, 3)], "doc_id long, text string, kept_rows int, kept_hash int, KEPT_DOC int")
+    got = M.drop_near_duplicates(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.kept_hash) for r in got.collect()) == [(1, 6), (2, 2)]
