@@ -76,7 +76,7 @@ def test_runs_of_one_byte_need_little_memory():
 
 
 def test_repeats_over_several_blocks_and_clashing_names(spark):
-    items = {i: f"item number {i} holds some words of its own that no other has, {i * 7919}" for i in range(6)}
+    items = {i: " ".join(f"{chr(97 + i) * 3}{j}{chr(107 + i)}" for j in range(12)) for i in range(6)}
     docs = [(1, "so " + items[2] + " so", 5), (1, "so " + items[2] + " so", 5), (2, "clean words only", 6), (None, items[4], 7)]
     df = spark.createDataFrame(docs, "doc_id long, text string, leak_hash int")
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
