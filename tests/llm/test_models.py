@@ -179,3 +179,27 @@ def test_held_out_is_by_crc(spark):
 
     got = spark.range(50).select("id", toxicity.held_out(F.col("id"), 4, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+def test_very_long_texts_are_read_whole(spark):
+    """A word at the far end of a text of two million bytes counts, in each of the models."""
+    from tessera.llm import decontaminate
+
+    filler = "plain words go on " * 110_000
+    item = "this passage of the benchmark stands at the very end of a long text"
+    df = spark.createDataFrame([(1, filler), (2, filler + "awful dimwit"), (3, filler + item)], "doc_id long, text string")
+    short = [(10 + i, "an awful dimwit said so" if i % 2 else "plain words go on") for i in range(80)]
+    learn, labels = spark.createDataFrame(short, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in short], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(df, toxicity.fit(learn, labels)).collect()}
+    assert score[2] > score[1] == score[3]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id: r.items for r in decontaminate.benchmark_leaks(df, bench).collect()} == {1: [], 2: [], 3: [7]}
+    good = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    weight = {r.doc_id: r.log_weight for r in quality.resample(df, good).collect()}
+    assert len(set(weight.values())) == 3
+
+
+def test_quality_ties_at_the_cut(spark):
+    df = spark.range(40).selectExpr("id % 4 as doc_id", "'same words' as text")
+    got = quality.resample(df, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).collect()
+    assert len(got) == 40 and sum(r.selected for r in got) == 20
