@@ -117,6 +117,8 @@ def link_groups(cells: DataFrame, verify, scratch: Scratch, traits: DataFrame, m
     a bounded number of pairs a key. Nodes without any link are not returned.
     """
     shared = cells.groupBy("cell").agg(F.max("cell").alias("_c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("_c")
+    shared = scratch.save(shared, "shared")  # before the cells are shuffled again, so that either shuffle is on disk alone
+    scratch.release()
     live = scratch.save(cells.join(shared, F.col("cell") == F.col("_c")).join(traits.select("h", "key", *early), "h").select("cell", "key", *early), "live")
     scratch.release()
     ahead = may if early else None
