@@ -171,14 +171,17 @@ def link_groups(cells: DataFrame, verify, scratch: Scratch, traits: DataFrame, m
     scratch.release()
     if not last.take(1):
         return comp
-    own = last.groupBy("key").agg(F.sort_array(F.collect_set("cell")).alias("own"), F.collect_set(F.when(F.col("cell_n") > large, F.col("cell"))).alias("wide"), F.collect_set(F.when(F.col("cell").bitwiseAND(F.lit(1)) == 1, F.col("cell"))).alias("odd"))
+    odd = F.col("cell").bitwiseAND(F.lit(1)) == 1
+    own = last.groupBy("key").agg(F.collect_set(F.when(~odd, F.col("cell"))).alias("even"), F.collect_set(F.when(F.col("cell_n") > large, F.col("cell"))).alias("wide"), F.collect_set(F.when(odd, F.col("cell"))).alias("odd"))
     rows = last.join(own.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).drop("_k")
     narrow = rows.filter(F.col("cell_n") <= large).withColumn("meet", F.col("cell"))
-    twos = F.expr("array_distinct(flatten(transform(wide, x -> transform(array_except(own, array(x)), y -> xxhash64(least(x, y), greatest(x, y))))))")
+    twos = F.expr("array_distinct(flatten(transform(wide, x -> transform(array_except(concat(even, odd), array(x)), y -> xxhash64(least(x, y), greatest(x, y))))))")
     wide = rows.filter(F.size("wide") > 0).filter(F.col("cell") == F.col("wide")[0]).select("*", F.explode(twos).alias("meet"))
-    rows = narrow.unionByName(wide).drop("cell")
+    rows = scratch.save(narrow.unionByName(wide).drop("cell", "cell_n"), "rows")
+    scratch.drop("still-1")
+    scratch.release()
     left, right = (rows.select(*(F.col(c).alias(f"{p}_{c}") for c in rows.columns)) for p in "ab")
-    both = F.array_intersect("a_own", "b_own")
+    both = F.sort_array(F.array_intersect(F.concat("a_even", "a_odd"), F.concat("b_even", "b_odd")))
     # not again in each cell that they share: in the first, or, if that is a large one, in its pair with the second
     first_two = F.array_contains("a_wide", both[0]) & (F.col("a_meet") == F.xxhash64(both[0], F.get(both, F.lit(1))))
     enough = (F.size(both) >= need) | F.arrays_overlap("a_odd", "b_odd") if need > 1 else F.size(both) >= 1
