@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import minhash as M
 from tessera.llm import queries
-from tessera.llm.common import Hasher, Scratch, connected_components
+from tessera.llm.common import Hasher, Scratch, connected_components, link_groups
 
 from ..compare import DATA, spark_rows, sql_rows
 
@@ -126,3 +126,15 @@ def test_columns_with_clashing_names_pass(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7), (1, "a b c d e f", 5, 6, 7), (2, None, 1, 2, 3)], "doc_id long, text string, kept_rows int, kept_hash int, KEPT_DOC int")
     got = M.drop_near_duplicates(df)
     assert got.columns == df.columns and sorted((r.doc_id, r.kept_hash) for r in got.collect()) == [(1, 6), (2, 2)]
+
+
+def test_pairs_that_share_one_cell_of_many_keys_are_linked(spark):
+    """One cell with more keys than pivots see and than a block holds shows the links; or half of what they need, the rest being in a small cell."""
+    df = spark.range(300).withColumnRenamed("id", "key").withColumn("h", F.xxhash64("key"))
+    traits = df.withColumn("pair", F.expr("key div 2"))
+    verify = lambda pairs: pairs.filter("a div 2 = b div 2")
+    may = lambda a, b: F.col(f"{a}_pair") == F.col(f"{b}_pair")
+    even, odd = (df.select(F.lit(c).cast("long").alias("cell"), "h") for c in (8, 7))
+    for need, cells in ((1, odd), (2, even.unionByName(df.select(F.expr("1000 + 2 * (key div 2)").alias("cell"), "h")))):
+        got = {r.node: r.label for r in link_groups(cells, verify, Scratch(spark, "t"), traits, may, need=need, large=100).collect()}
+        assert got == {i: i // 2 * 2 for i in range(300)}
