@@ -138,3 +138,30 @@ def test_pairs_that_share_one_cell_of_many_keys_are_linked(spark):
     for need, cells in ((1, odd), (2, even.unionByName(df.select(F.expr("1000 + 2 * (key div 2)").alias("cell"), "h")))):
         got = {r.node: r.label for r in link_groups(cells, verify, Scratch(spark, "t"), traits, may, need=need, large=100).collect()}
         assert got == {i: i // 2 * 2 for i in range(300)}
+
+
+def test_each_pair_with_a_pivot_is_made_once(spark, monkeypatch):
+    """Keys that share twenty large cells meet a pivot once, not once a cell."""
+    made, save = [], Scratch.save
+
+    def watched(self, df, name):
+        if name.startswith("pairs-") and name != "pairs-0":
+            df.collect()
+            nodes = [df._jdf.queryExecution().executedPlan()]
+            for node in nodes:
+                nodes.extend(node.children().apply(i) for i in range(node.children().size()))
+                if node.nodeName() == "Generate":
+                    made.append(node.metrics().apply("numOutputRows").value())
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(200).withColumnRenamed("id", "key").withColumn("h", F.xxhash64("key"))
+        cells = df.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("cell"), "h")
+        got = link_groups(cells, lambda pairs: pairs.filter("a div 10 = b div 10"), Scratch(spark, "t"), df, lambda a, b: F.lit(True)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.node: r.label for r in got} == {i: i // 10 * 10 for i in range(200)}
+    # pivots are the same in all cells: 2, then 6 a key at most
+    assert len(made) == 2 and made[0] <= 2 * 200 and made[1] <= 6 * 200, made
