@@ -84,7 +84,7 @@ def build_tree(x: np.ndarray, cfg: TreeConfig) -> Tree:
     while k < len(centre):
         rows = members[k]
         if len(rows) > cfg.leaf:
-            part, c = x[rows], x[rng.choice(rows, cfg.branch, replace=False)]
+            part, c = x[rows], x[rng.choice(rows, min(cfg.branch, len(rows)), replace=False)]
             for _ in range(cfg.rounds):
                 near = ((c * c).sum(axis=1) - 2 * part @ c.T).argmin(axis=1)
                 c = np.array([part[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
