@@ -2,12 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
 
+#: Python works on so many rows, or bytes or items of them, at a time: what it holds doesn't grow with Spark's batches, nor with what a row yields.
+ROWS, SIZE = 256, 1 << 20
+
+
+def portions(col: pa.Array, rows: int = ROWS, size: int = SIZE) -> Iterator[pa.Array]:
+    """The column in slices of up to ``rows`` rows and about ``size`` bytes of text or items of lists, one row at least."""
+    length = pc.list_value_length if pa.types.is_list(col.type) or pa.types.is_large_list(col.type) else pc.binary_length
+    ends = np.cumsum(pc.fill_null(length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(col):
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        end = min(max(end, at + 1), at + rows)
+        yield col.slice(at, end - at)
+        at = end
+
+
+def batched(fn: Callable[[list], pa.Array], kind: str, size: int = SIZE):
+    """A column function that maps lists of values to Arrow arrays, a portion at a time."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in portions(batch, size=size):
+                yield fn(part.to_pylist())
+
+    return F.arrow_udf(run, kind)
+
+
+def nested(rows: list[list], values: Callable[[list], pa.Array]) -> pa.Array:
+    """An array of lists; ``values`` makes the array of all their items."""
+    ends = np.cumsum([0, *(len(r) for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values([x for r in rows for x in r]))
+
+
+def records(rows: list[list[tuple]], **kinds: pa.DataType) -> pa.Array:
+    """An array of lists of structs."""
+    columns = lambda items: [pa.array([x[k] for x in items], t) for k, t in enumerate(kinds.values())]
+    return nested(rows, lambda items: pa.StructArray.from_arrays(columns(items), list(kinds)))
+
 
 def _scalar(fn, kind: str):
     def run(s: pd.Series) -> pd.Series:
@@ -33,6 +76,12 @@ def embedding(col: Column, dim: int = 256) -> Column:
     return _scalar(lambda t: T.hash_embedding(t, dim), "array<float>")(col)
 
 
+def aliases(col: Column, threshold: float, across_types: bool) -> Column:
+    """Of arrays of (entity, name, entity_type, mentions)."""
+    find = lambda rows: T.find_aliases([tuple(r.values()) for r in rows], threshold, across_types)
+    return batched(lambda docs: records([find(d) for d in docs], id=pa.string(), head=pa.string(), similarity=pa.float64()), "array<struct<id:string,head:string,similarity:double>>", 1 << 14)(col)
+
+
 def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` characters, ``size - overlap`` apart, trimmed, blank ones dropped: no Python."""
     t, step = F.trim(text), max(size - overlap, 1)

@@ -5,14 +5,13 @@ from __future__ import annotations
 import time
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..functions.providers import Embedder, Extractor, hashing, rule_extractor
 from ..functions.ids import config_hash, content_hash, derived_id, new_id
-from ..functions.text import Chunker, find_aliases
+from ..functions.text import Chunker
 from . import graph as G
 
 PIPELINE = "1"
@@ -143,10 +142,9 @@ def cooccurrences(found: DataFrame, *by: str) -> DataFrame:
 
 def aliases(found: DataFrame, threshold: float = 0.92, across_types: bool = False) -> DataFrame:
     """(id, head, similarity) within each document."""
-    rows = found.groupBy("document_id", "entity").agg(F.max_by("name", F.struct(F.octet_length("name"), "name")).alias("name"), F.first("entity_type").alias("entity_type"), F.sum("mentions").alias("mentions"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = find_aliases(list(pdf[["entity", "name", "entity_type", "mentions"]].itertuples(index=False, name=None)), threshold, across_types)
-        return pd.DataFrame(got, columns=["id", "head", "similarity"])
-
-    return rows.groupBy("document_id").applyInPandas(run, "id string, head string, similarity double")
+    dealt = found.select("document_id", "entity", "name", "entity_type", "mentions")
+    dealt = dealt.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document_id")  # both aggregates keep to it; few bytes, much work: not to be coalesced
+    rows = dealt.groupBy("document_id", "entity").agg(F.max_by("name", F.struct(F.octet_length("name"), "name")).alias("name"), F.first("entity_type").alias("entity_type"), F.sum("mentions").alias("mentions"))
+    # an array of a document's entities, many documents in a batch, instead of a frame for each
+    whole = rows.groupBy("document_id").agg(F.collect_list(F.struct("entity", "name", "entity_type", "mentions")).alias("rows"))
+    return whole.select(F.explode(udfs.aliases(F.col("rows"), threshold, across_types)).alias("x")).select("x.id", "x.head", "x.similarity")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -91,3 +93,30 @@ def test_diff():
     assert T.lcs_diff(["a", "b"], ["a", "c"]) == [("same", "a"), ("removed", "b"), ("added", "c")]
     assert T.lcs_diff([], ["x"]) == [("added", "x")] and T.lcs_diff(["x"], []) == [("removed", "x")]
     assert T.lcs_diff(["a"] * 3, ["a"], most=2)[:3] == [("removed", "a")] * 3
+
+
+def _all_pairs(rows, threshold, across):
+    heads, out = [], []
+    for row in sorted(rows, key=lambda r: (-r[3], -len(r[1].encode()), r[0])):
+        for head in heads:
+            if (across or head[2] == row[2]) and (s := T.name_similarity(head[1], row[1])) >= threshold:
+                out.append((row[0], head[0], s))
+                break
+        else:
+            heads.append(row)
+    return out
+
+
+def test_aliases_equal_all_pairs_and_compare_few(monkeypatch):
+    """The same rows as by comparing all, odd names among them; of a thousand names' half a million pairs few are compared."""
+    r = random.Random(4)
+    word = lambda least, most, letters: "".join(r.choice(letters) for _ in range(r.randint(least, most)))
+    names = [" ".join(word(1, 5, "abé&") for _ in range(r.randint(0, 3))).title() for _ in range(60)]
+    rows = [(str(i), n, r.choice("pq"), r.randint(1, 3)) for i, n in enumerate([*names, "", "…", "The", "A. Bab", "İa"])]
+    for threshold, across in ((0.92, False), (0.92, True), (0.96, True), (0.6, False), (0.0, True)):
+        assert T.find_aliases(rows, threshold, across) == _all_pairs(rows, threshold, across)
+    many = [(str(i), word(4, 9, "abcdefghijklmnopqrstuvwxyz").title(), "concept", 1) for i in range(1000)]
+    compared, real = [], T.jaro_winkler
+    monkeypatch.setattr(T, "jaro_winkler", lambda a, b: compared.append(1) or real(a, b))
+    T.find_aliases(many)
+    assert len(compared) < 50_000
