@@ -52,6 +52,10 @@ def records(rows: list[list[tuple]], **kinds: pa.DataType) -> pa.Array:
     return nested(rows, lambda items: pa.StructArray.from_arrays(columns(items), list(kinds)))
 
 
+def html_text(col: Column) -> Column:
+    return batched(lambda ts: pa.array([None if t is None else T.html_to_text(t) for t in ts], pa.string()), "string")(col)
+
+
 def _scalar(fn, kind: str):
     def run(s: pd.Series) -> pd.Series:
         return s.map(fn)
@@ -59,17 +63,13 @@ def _scalar(fn, kind: str):
     return F.pandas_udf(run, kind)
 
 
-def html_text(col: Column) -> Column:
-    return _scalar(lambda t: None if t is None else T.html_to_text(t), "string")(col)
-
-
 def chunks(col: Column, chunker: T.Chunker) -> Column:
     return _scalar(chunker.split, "array<string>")(col)
 
 
 def entities(col: Column, least: int = 1) -> Column:
     kind = "array<struct<name:string,norm:string,entity_type:string,confidence:double,mentions:int>>"
-    return _scalar(lambda t: [dict(zip(("name", "norm", "entity_type", "confidence", "mentions"), e, strict=True)) for e in T.entities(t, least)], kind)(col)
+    return batched(lambda ts: records([T.entities(t, least) for t in ts], name=pa.string(), norm=pa.string(), entity_type=pa.string(), confidence=pa.float64(), mentions=pa.int32()), kind)(col)
 
 
 def embedding(col: Column, dim: int = 256) -> Column:
