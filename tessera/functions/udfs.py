@@ -56,15 +56,8 @@ def html_text(col: Column) -> Column:
     return batched(lambda ts: pa.array([None if t is None else T.html_to_text(t) for t in ts], pa.string()), "string")(col)
 
 
-def _scalar(fn, kind: str):
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(fn)
-
-    return F.pandas_udf(run, kind)
-
-
 def chunks(col: Column, chunker: T.Chunker) -> Column:
-    return _scalar(chunker.split, "array<string>")(col)
+    return batched(lambda ts: nested([chunker.split(t) for t in ts], lambda x: pa.array(x, pa.string())), "array<string>")(col)
 
 
 def entities(col: Column, least: int = 1) -> Column:
@@ -72,6 +65,13 @@ def entities(col: Column, least: int = 1) -> Column:
     return batched(lambda ts: records([T.entities(t, least) for t in ts], name=pa.string(), norm=pa.string(), entity_type=pa.string(), confidence=pa.float64(), mentions=pa.int32()), kind)(col)
 
 
+def _scalar(fn, kind: str):
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(fn)
+
+    return F.pandas_udf(run, kind)
+
+
 def embedding(col: Column, dim: int = 256) -> Column:
     return _scalar(lambda t: T.hash_embedding(t, dim), "array<float>")(col)
 

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions import udfs
 
 
@@ -30,3 +31,9 @@ def test_entities_work_on_portions(spark, sizes):
 def test_html_work_on_portions(spark, sizes):
     df = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("Marta "), 10).alias("t"))
     assert df.select(udfs.html_text(F.col("t")).alias("n")).agg(F.max("n")).first()[0] <= udfs.ROWS
+
+
+@pytest.mark.parametrize("spec", ["sentence:500:1", "recursive:500:50"])
+def test_chunks_work_on_portions(spark, sizes, spec):
+    df = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("Marta "), 10).alias("t"))
+    assert df.select(udfs.chunks(F.col("t"), T.Chunker.parse(spec)).alias("n")).agg(F.max("n")).first()[0] <= udfs.ROWS
