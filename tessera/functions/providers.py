@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,17 +55,13 @@ class Embedder:
     def column(self, text: Column) -> Column:
         """A vector for each text; a null text counts as empty."""
         checked = self.checked
-
-        def run(s: pd.Series) -> pd.Series:
-            return pd.Series(checked(["" if t is None else t for t in s]), dtype=object)
-
-        return F.pandas_udf(run, "array<float>")(text)
+        return udfs.batched(lambda ts: udfs.vectors(checked(["" if t is None else t for t in ts])), "array<float>")(text)
 
 
 def hashing(dim: int = 256) -> Embedder:
     if dim < 1:
         raise ProviderError(f"not a dimension: {dim}")
-    return Embedder(f"hash-bow-v1-{dim}", dim, lambda texts: [T.hash_embedding(t, dim) for t in texts], 1024)
+    return Embedder(f"hash-bow-v1-{dim}", dim, lambda texts: T.hash_embeddings(texts, dim), 1024)
 
 
 def parse_embedder(spec: str) -> Embedder:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -65,15 +64,14 @@ def entities(col: Column, least: int = 1) -> Column:
     return batched(lambda ts: records([T.entities(t, least) for t in ts], name=pa.string(), norm=pa.string(), entity_type=pa.string(), confidence=pa.float64(), mentions=pa.int32()), kind)(col)
 
 
-def _scalar(fn, kind: str):
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(fn)
-
-    return F.pandas_udf(run, kind)
+def embedding(col: Column, dim: int = 256) -> Column:
+    return batched(lambda ts: vectors(T.hash_embeddings(ts, dim)), "array<float>")(col)
 
 
-def embedding(col: Column, dim: int = 256) -> Column:
-    return _scalar(lambda t: T.hash_embedding(t, dim), "array<float>")(col)
+def vectors(rows) -> pa.Array:
+    """An array of lists of equal length."""
+    rows = np.asarray(rows, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
 def aliases(col: Column, threshold: float, across_types: bool) -> Column:

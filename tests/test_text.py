@@ -120,3 +120,17 @@ def test_aliases_equal_all_pairs_and_compare_few(monkeypatch):
     monkeypatch.setattr(T, "jaro_winkler", lambda a, b: compared.append(1) or real(a, b))
     T.find_aliases(many)
     assert len(compared) < 50_000
+
+
+def test_hash_embeddings_of_many_are_those_of_each(monkeypatch):
+    """The same numbers to the last bit; terms of up to 256 bytes aren't hashed one by one."""
+    odd = [None, "", " _ ", "İstanbul ΑΣ Ω a_b__c", "x" * 1000 + " " + "y" * 257 + " " + "z" * 256 + " q", "one", "one two\nthree  four", "\x00 nul"]
+    for dim in (1, 7, 64):
+        assert T.hash_embeddings(odd, dim).tolist() == [T.hash_embedding(t, dim) for t in odd]
+    assert T.hash_embeddings([], 8).shape == (0, 8)
+    alone, real = [], T.fnv1a
+    monkeypatch.setattr(T, "fnv1a", lambda *a: alone.append(1) or real(*a))
+    from tessera.functions.providers import hashing
+
+    hashing(64).checked([" ".join(f"word{i * k}" for i in range(500)) for k in range(20)])
+    assert not alone
