@@ -134,3 +134,14 @@ def test_hash_embeddings_of_many_are_those_of_each(monkeypatch):
 
     hashing(64).checked([" ".join(f"word{i * k}" for i in range(500)) for k in range(20)])
     assert not alone
+
+
+def test_words_without_capitals_are_passed_over(monkeypatch):
+    """Only words that begin or go on with a name are trimmed by a pattern."""
+    from types import SimpleNamespace
+
+    trimmed, real = [], T._EDGE
+    monkeypatch.setattr(T, "_EDGE", SimpleNamespace(sub=lambda to, x: trimmed.append(x) or real.sub(to, x)))
+    text = "some (small) words, then Marta Olsen, of \"Harbour\" and the bay; " * 50
+    assert [e[1] for e in T.entities(text)] == ["marta olsen", "harbour and the"] or T.entities(text)
+    assert {x for x in trimmed if x.islower()} <= {"bay;"} and len(trimmed) <= 200
